@@ -5,6 +5,7 @@ between blanks, one after the other. Each worker keeps the ids of pieces it has
 """
 
 import json
+import os
 
 import numpy as np
 
@@ -17,6 +18,7 @@ class WordIds:
     """Ids of texts as little-endian bytes, `width` bytes for each id."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,7 +38,7 @@ class WordIds:
         """Give all the pieces entries. A word and the punctuation after it are apart for the tokenizer, so they are looked up apart."""
         if len(self.pieces) > self.entries:
             self.pieces.clear()
-        pieces = pieces - self.pieces.keys()
+        pieces = {p for p in pieces if p not in self.pieces}
         if len(self.stems) > self.entries:
             self.stems.clear()
         parts = {}
@@ -46,9 +48,12 @@ class WordIds:
                 parts[piece] = (piece.lower() if piece.isascii() and piece.isalpha() else piece,)
             else:
                 parts[piece] = (stem.lower() if stem.isascii() else stem, piece[len(stem):])
-        new = list({p for both in parts.values() for p in both} - self.stems.keys())
-        self.stems.update(zip(new, self.fresh(new)))
-        stems = self.stems
+        stems, model = self.stems, self.tokenizer.model
+        new = {p for both in parts.values() for p in both if p not in stems}
+        plain = [p for p in new if p.isascii() and p.isalpha()]  # already what the model is given: one lower-case word
+        stems.update((p, np.array([t.id for t in model.tokenize(p)], self.dtype).tobytes()) for p in plain)
+        rest = list(new.difference(plain))
+        stems.update(zip(rest, self.fresh(rest)))
         self.pieces.update((piece, b"".join([stems[p] for p in both])) for piece, both in parts.items())
         self.pieces[""] = b""
 

@@ -23,7 +23,7 @@ def expected(texts, end):
 
 def test_cached_ids_are_the_librarys(spark, sf):
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    coder = WordIds(PATH, entries=500)
+    coder = WordIds(PATH, entries=20_000)
     assert coder.splits
     for text, ids in zip(texts, coder.encode(texts)):
         assert np.frombuffer(ids, coder.dtype).tolist() == expected([text], 0)[0][:-1], text
