@@ -1,8 +1,15 @@
 """The queries of this subpackage by name, and the SQL that they are held against."""
 
-from leadloom.llm import token_files
+from leadloom.llm import chat, decontamination, exact_dedup, packing, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op6_packing": packing.op6_packing,
+    "op7_chat": chat.op7_chat,
     "op8_token_files": token_files.op8_token_files,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": exact_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
