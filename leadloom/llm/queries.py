@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL that they are held against."""
 
-from leadloom.llm import chat, decontamination, exact_dedup, near_dedup, packing, token_counts, token_files
+from leadloom.llm import chat, decontamination, exact_dedup, near_dedup, packing, quality, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_quality": quality.op2_quality,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
