@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and the SQL that they are held against."""
 
-from leadloom.llm import chat, decontamination, exact_dedup, near_dedup, packing, pitman_yor, quality, token_counts, token_files
+from leadloom.llm import chat, decontamination, exact_dedup, licenses, near_dedup, packing, pitman_yor, quality, token_counts, token_files
 
 QUERIES = {
     "op10_lm_scores": pitman_yor.op10_lm_scores,
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality": quality.op2_quality,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
