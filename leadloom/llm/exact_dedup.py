@@ -99,7 +99,8 @@ def groups(docs: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFrame:
     names = identities(rows, size, hash_of)
     facts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     each = written(facts.join(names, "row"), "facts")
-    best = each.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"))).alias("best"))
+    # written, so that both sides of the join are plain shuffles, whose large partitions can be split
+    best = written(each.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"))).alias("best")), "groups")
     return each.join(best, ["level", "name"]).select("row", "doc_id", (-F.col("best.less")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.first")).alias("kept"), "text_sha256")
 
 
