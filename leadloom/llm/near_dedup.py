@@ -213,8 +213,11 @@ def groups(docs: DataFrame) -> DataFrame:
     linked = components(all_links(sets, gatherings))
     discard(sets, asked, postings)
     each = classes.select("node", "h1", "h2", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = each.groupBy("component").agg(F.min("least").alias("stays"))
-    named = each.join(least, "component").select("h1", "h2", "stays")
+    # written, so that both sides of the joins are plain shuffles, whose large partitions can be split
+    each = written(each, "named")
+    least = written(each.groupBy("component").agg(F.min("least").alias("stays")), "least")
+    named = written(each.join(least, "component").select("h1", "h2", "stays"), "stays")
+    discard(each, least)
     full = rows.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"])
     empty = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
     return full.select("row", "doc_id", "n_shingles", F.col("stays.doc_id").alias("component_id"), F.col("stays.row").alias("kept_row")).union(empty)
