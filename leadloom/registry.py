@@ -1,10 +1,10 @@
 """Named queries over the driver's tables, and the SQL that each is held against."""
 
-from leadloom.plans import funnel
+from leadloom.plans import documents, funnel, leads, pages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (funnel,):
+for module in (funnel, pages, documents, leads):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
