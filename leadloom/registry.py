@@ -1,10 +1,10 @@
 """Named queries over the driver's tables, and the SQL that each is held against."""
 
-from leadloom.plans import documents, funnel, leads, pages
+from leadloom.plans import documents, funnel, leads, pages, threads, usage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (funnel, pages, documents, leads):
+for module in (funnel, pages, documents, leads, usage, threads):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
