@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal-form endings that a company name key leaves out, each wherever it stands after a blank.
-LEGAL_FORMS = (" inc", " llc", " ltd", " limited", " corp", " corporation", " gmbh", " co.", " company")
+LEGAL_FORMS = (" incorporated", " inc.", " inc", " llc", " ltd", " limited", " co.", " corp", " gmbh")
 
 
 def clean(text: Column) -> Column:
