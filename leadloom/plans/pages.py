@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leadloom.functions import text, url
+from leadloom.functions import contact, html, text, url
 from leadloom.operators import dedup, series
 from leadloom.sources.tables import read
 
@@ -97,7 +97,28 @@ def directory_links(spark, sf_dir):
     return rows.groupBy("link").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "link").limit(20)
 
 
+def html_text(spark, sf_dir):
+    """Visible text of each page: lines, characters, and whether scripts would have to fill it."""
+    rows = read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("t"), html.is_shell(F.col("html")).alias("shell"))
+    return rows.select("page_id", F.size(F.split("t", "\n")).cast("long").alias("lines"), F.length("t").cast("long").alias("chars"), "shell")
+
+
+def html_contacts(spark, sf_dir):
+    """Addresses on pages, ranked by where they stand and whose they are."""
+    rows = read(spark, sf_dir, "pages").select("page_id", url.site(url.host(F.col("url"))).alias("site"), "url", "html")
+    page = F.when(url.contact_path(F.col("url")), contact.PAGE_CONTACT).otherwise(contact.PAGE_FOOTER)
+    hits = rows.select("page_id", "site", page.alias("page"), F.explode(html.contact_hits(F.col("html"))).alias("h")).select("page_id", "site", "page", "h.email", "h.source")
+    return contact.ranked_hits(hits, ["page_id"])
+
+
+def host_countries(spark, sf_dir):
+    """Sites by the country that their last label names, and whether they are social networks."""
+    sites = hosted(spark, sf_dir).select("host").distinct()
+    return sites.groupBy(F.coalesce(url.country(F.col("host")), F.lit("")).alias("country"), url.is_social(F.col("host")).alias("social")).agg(F.count("*").alias("hosts"))
+
+
 QUERIES = {
+    "q_html_text": html_text, "q_html_contacts": html_contacts, "q_host_countries": host_countries,
     "q_host_first_page": host_first_page, "q_registrable_counts": registrable_counts, "q_blocklist_antijoin": blocklist_antijoin, "q_blocklist_semijoin": blocklist_semijoin,
     "q_company_name_from_host": company_names, "q_url_path_category": url_categories, "q_on_topic_page_filter": on_topic, "q_page_fingerprint_repeat": page_fingerprints,
     "q_company_memory_merge": company_memory, "q_query_parameters": query_parameters, "q_next_page_url": next_pages, "q_page_titles": titles, "q_directory_links": directory_links,
@@ -108,7 +129,11 @@ SITE = r"regexp_replace(host, '^(www|m|blog)\.', '')"
 BLOCK = " OR ".join(f"host = '{b}' OR host LIKE '%.{b}'" for b in BLOCKED)
 H = f"WITH h AS (SELECT page_id, url, html, {HOST} AS host FROM pages)"
 
+COUNTRY = "CASE split_part(host, '.', -1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in url.COUNTRY_LABELS.items()) + " ELSE '' END"
+SOCIAL = "(" + " OR ".join(f"host = '{x}' OR host LIKE '%.{x}'" for x in url.SOCIAL_HOSTS) + ")"
+
 ORACLES = {
+    "q_host_countries": f"{H}, s AS (SELECT DISTINCT host FROM h) SELECT {COUNTRY} AS country, {SOCIAL} AS social, count(*) AS hosts FROM s GROUP BY 1, 2",
     "q_host_first_page": f"{H} SELECT host, arg_min(url, page_id) AS url, min(page_id) AS page_id, count(*) AS pages FROM h GROUP BY host",
     "q_registrable_counts": rf"{H} SELECT array_to_string(split(host, '.')[-2:], '.') AS domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM h GROUP BY 1",
     "q_blocklist_antijoin": f"{H} SELECT page_id, host FROM h WHERE NOT ({BLOCK})",
