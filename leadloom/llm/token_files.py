@@ -54,21 +54,30 @@ def code_lengths(counts: dict[int, int], limit: int = MAX_BITS) -> dict[int, int
 
 def canonical_codes(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Code and length by id; codes count up in order of (length, id)."""
-    codes, bits, code, last = np.zeros(size, np.uint64), np.zeros(size, np.int64), 0, 0
-    for n, i in sorted((n, i) for i, n in lengths.items()):
-        code <<= n - last
-        codes[i], bits[i], last = code, n, n
-        code += 1
+    ids, n = in_order(lengths)
+    codes, bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    # a code of n bits stands for a stretch of 2**(top-n) of the codes of `top` bits; its stretch starts where the last one ended
+    top = int(n.max(initial=0))
+    stretch = np.left_shift(1, top - n)
+    codes[ids], bits[ids] = (np.cumsum(stretch) - stretch) >> (top - n), n
     return codes, bits
 
 
+def in_order(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and code lengths in order of (length, id)."""
+    ids, n = np.fromiter(lengths.keys(), np.int64, len(lengths)), np.fromiter(lengths.values(), np.int64, len(lengths))
+    order = np.lexsort((ids, n))
+    return ids[order], n[order]
+
+
 def decode_tables(lengths: dict[int, int], limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Id and code length by the next `limit` bits."""
-    ids, bits, at = np.zeros(1 << limit, np.uint32), np.zeros(1 << limit, np.uint8), 0
-    for n, i in sorted((n, i) for i, n in lengths.items()):
-        ids[at : at + (1 << (limit - n))], bits[at : at + (1 << (limit - n))] = i, n
-        at += 1 << (limit - n)
-    return ids, bits
+    ids, n = in_order(lengths)
+    stretch = np.left_shift(1, limit - n)
+    out = np.zeros(1 << limit, np.uint32), np.zeros(1 << limit, np.uint8)
+    for table, values in zip(out, (ids, n)):
+        table[: stretch.sum()] = np.repeat(values, stretch)
+    return out
 
 
 def pack(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, bytes]:
