@@ -4,9 +4,10 @@ The next word is drawn in the restaurant of its context, one of CONTEXTS classes
 gives. Those restaurants share one parent over words, and its base spells words byte by byte: a restaurant for each
 byte before, sharing a parent over bytes above the uniform distribution. Words that no training text has are one event together, as in the unigram scores: the
 probability that remains beside all known words. What a dish's tables are is sampled by Gibbs
-moves (take a customer away, seat it again, table sizes integrated out), in sweeps that run over buckets of words side
-by side and then exchange the restaurants' totals. A word's probability is the mean of its predictive probabilities over
-the kept sweeps.
+moves (take a customer away, seat it again, table sizes integrated out). A sweep makes as many moves of a dish as it has
+customers, those of large dishes in BLOCKS blocks with binomial numbers of tables that go and come. Sweeps run over
+buckets of words side by side and then exchange the restaurants' totals, until these settle; a word's probability is the
+mean of its predictive probabilities over SAMPLES states from there on, a sweep apart.
 
 Documents are bundled into segments of bounded size. A segment's distinct (word, context) pairs, not its tokens, are what
 is shuffled: to buckets by the word's 64-bit hash for counting and seating, and back with probabilities.
@@ -28,14 +29,15 @@ from leadloom.llm.common import discard, remainder, text_or_empty, written
 
 FOLDS, SMOOTHING = 10, 0.1
 CONTEXTS, START = 32, 0
-#: Sweeps, those before the first that counts, and Gibbs moves of a dish in a sweep.
-SWEEPS, BURN_IN, MOVES = 3, 1, 4
+#: States that are averaged; sweeps, and the change in them at which table totals count as settled, as a share and in square roots;
+#: sweeps after which it is an error if they have not.
+SAMPLES, LAG, SETTLED, NOISE, MOST_SWEEPS = 3, 5, 0.001, 3, 1000
 STRENGTH = 1.0
 SEED = 10
 #: Tokens after which a segment is closed; pairs of all segments that a bucket takes.
 SEGMENT_TOKENS, BUCKET_PAIRS = 3_000_000, 2_000_000
-#: Customers up to which table removal follows Stirling numbers exactly.
-EXACT = 96
+#: Customers up to which moves are made one by one and table removal follows Stirling numbers exactly; blocks of a larger dish's moves.
+EXACT, BLOCKS = 96, 64
 
 #: A to Z become lower case; all white space becomes a blank.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
@@ -61,22 +63,44 @@ def removal(discount: float, n: int = EXACT) -> np.ndarray:
     return out
 
 
-def gibbs(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, alone: np.ndarray, moves: int = MOVES) -> np.ndarray:
-    """Tables after some moves. others: tables of the restaurant's other dishes; base: the parent's probability of the dish."""
+def removal_curve(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """For large dishes, by saddle point: tables per customer, ascending, and how many times that share a random customer sits alone."""
+    u = np.concatenate([np.logspace(-300, -2, 4000), np.linspace(0.01, 1, 2000)[1:-1]])
+    f = 1 - u**discount
+    return np.concatenate([[0], f / (discount * (1 - u) * u ** (discount - 1)), [1]]), np.concatenate([[discount], discount * (1 - u) / f, [1]])
+
+
+def gibbs(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, alone: np.ndarray, moves: int | None = None) -> np.ndarray:
+    """Tables after some moves of each dish, by default as many as it has customers. others: tables of the restaurant's other dishes; base: the parent's probability of the dish."""
     out = tables.copy()
     at = np.flatnonzero(customers > 1)
+    at = at[np.argsort(-customers[at], kind="stable")]
     c, t, a, p = customers[at], tables[at].astype(np.int64), others[at], base[at]
-    small = c <= EXACT
-    for _ in range(moves):
-        leave = np.where(small, alone[np.minimum(c, EXACT), np.minimum(t, EXACT)], np.minimum(1.0, discount * t / c))
-        t = np.maximum(1, t - (rng.random(len(c)) < leave))
-        new = (STRENGTH + discount * (a + t)) * p
-        t += rng.random(len(c)) < new / (new + np.maximum(c - 1 - discount * t, 1e-12))
-        t = np.minimum(t, c)
+    large = int(np.searchsorted(-c, -EXACT))
+    share, times = removal_curve(discount)
+    for _ in range(BLOCKS if large else 0):
+        n, k = c[:large], t[:large]
+        block = -(-(n if moves is None else moves) // BLOCKS)
+        leave = np.minimum(1.0, np.interp(k / n, share, times) * (k - 1) / (n - 1))
+        new = (STRENGTH + discount * (a[:large] + k - leave)) * p[:large]
+        come = new / (new + np.maximum(n - 1 - discount * (k - leave), 1e-12))
+        t[:large] = np.clip(k + rng.binomial(block, come) - rng.binomial(block, leave), 1, n)
+    c, k, a, p = c[large:], t[large:], a[large:], p[large:]
+    for move in range(moves if moves is not None else int(c.max(initial=0))):
+        m = len(c) if moves is not None else int(np.searchsorted(-c, -move))  # those with more customers than moves so far
+        left = np.maximum(1, k[:m] - (rng.random(m) < alone[c[:m], k[:m]]))
+        new = (STRENGTH + discount * (a[:m] + left)) * p[:m]
+        k[:m] = np.minimum(left + (rng.random(m) < new / (new + np.maximum(c[:m] - 1 - discount * left, 1e-12))), c[:m])
     out[at] = t
     return out
 
 
+def settled(before: np.ndarray, after: np.ndarray) -> bool:
+    """Whether table totals and their sum changed in LAG sweeps by no more than their share and noise."""
+    before, after = np.append(before, before.sum()), np.append(after, after.sum())
+    return bool((np.abs(after - before) <= SETTLED * before + NOISE * np.sqrt(before)).all())
+
+
 def discount_of(ones: float, twos: float) -> float:
     """The usual estimate from how many dishes have one and two customers."""
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
@@ -95,18 +119,25 @@ def spelling_model(counts: np.ndarray) -> np.ndarray:
     t = (c > 0).astype(np.int64)
     d, total = discount_of((c == 1).sum(), (c == 2).sum()), np.zeros((256, 256))
     alone = removal(d)
-    top_t = None
-    for sweep in range(SWEEPS):
-        up = t.sum(0)
+    up = t.sum(0)
+    top_t, left, history = np.minimum(up, 1), None, []
+    for _ in range(MOST_SWEEPS):
         top_d = discount_of((up == 1).sum(), (up == 2).sum())
-        top_t = np.minimum(np.ones(256, np.int64) if top_t is None else np.maximum(top_t, 1), up)
-        top_t = gibbs(up, top_t, top_t.sum() - top_t, np.full(256, 1 / 256), top_d, rng, removal(top_d))
+        top_t = gibbs(up, np.clip(top_t, np.minimum(up, 1), up), top_t.sum() - top_t, np.full(256, 1 / 256), top_d, rng, removal(top_d))
         parent = predictive(up, top_t, up.sum(), top_t.sum(), 1 / 256, top_d)
-        p = predictive(c, t, c.sum(1)[:, None], t.sum(1)[:, None], parent[None], d)
-        if sweep >= BURN_IN:
-            total += p
+        if left is not None:
+            total += predictive(c, t, c.sum(1)[:, None], t.sum(1)[:, None], parent[None], d)
+            left -= 1
+            if not left:
+                break
         rest = t.sum(1)[:, None] - t
+        history.append(t.sum(1))
         t = gibbs(c.ravel(), t.ravel(), rest.ravel(), np.broadcast_to(parent, c.shape).ravel(), d, rng, alone).reshape(c.shape)
+        up = t.sum(0)
+        if left is None and len(history) >= LAG and settled(history[-LAG], t.sum(1)):
+            left = SAMPLES
+    else:
+        raise RuntimeError(f"spelling tables have not settled in {MOST_SWEEPS} sweeps")
     total[32, 32] = 0
     total /= total.sum(1)[:, None]
     total[32, 32] = 1e-300
@@ -329,15 +360,17 @@ def scored(docs: DataFrame) -> DataFrame:
     both = written(to_buckets(bundles, n_buckets).groupBy("bucket").applyInArrow(merged, fields), "merged")
     places, state = both.filter("segment is not null").select("bucket", "segment", "pair_at", "word_at"), both.filter("segment is null").drop("segment", "pair_at", "word_at")
     old: list[DataFrame] = []
-    for k in range(SWEEPS):
-        known = spark.sparkContext.broadcast((k, *totals_of(state)))
+    totals, tally = totals_of(state)
+    left, history = None, []  # sweeps before the last sample, once the totals have settled
+    for k in range(MOST_SWEEPS):
+        known = spark.sparkContext.broadcast((k, left is not None, totals, tally))
 
         def sweep(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            k, totals, tally = known.value
+            k, sample, totals, tally = known.value
             for batch in batches:
                 for r in batch.to_pylist():
                     s = Seating(r, totals, tally)
-                    if k >= BURN_IN:
+                    if sample:
                         s.mean = s.mean + s.probabilities()
                     s.sweep(np.random.default_rng([SEED, k, s.bucket]))
                     yield pa.RecordBatch.from_pylist([state_row(s.bucket, s.spelled, s.words, s.contexts, s.customers, s.tables, s.word_tables, s.mean)], STATE_SCHEMA)
@@ -345,13 +378,22 @@ def scored(docs: DataFrame) -> DataFrame:
         state = written(state.mapInArrow(sweep, STATE), "seating")
         discard(*old)
         old = [state]
-    totals, tally = totals_of(state)
+        history.append(totals[CONTEXTS:-3])
+        totals, tally = totals_of(state)
+        if left is not None:
+            left -= 1
+        elif len(history) >= LAG and settled(history[-LAG], totals[CONTEXTS:-3]):
+            left = SAMPLES - 1
+        if left == 0:
+            break
+    else:
+        raise RuntimeError(f"table totals have not settled in {MOST_SWEEPS} sweeps")
 
     def give_back(key: tuple, where: pa.Table, states: pa.Table) -> pa.Table:
         out = []
         for r in states.to_pylist():
             s = Seating(r, totals, tally)
-            p = ((s.mean + s.probabilities()) / (SWEEPS - BURN_IN + 1)).astype("<f4")
+            p = ((s.mean + s.probabilities()) / SAMPLES).astype("<f4")
             seen = np.bincount(s.words, s.customers, len(s.base)).astype("<u4")
             for w in where.to_pylist():
                 out.append({"segment": w["segment"], "bucket": w["bucket"], "p": p[np.frombuffer(w["pair_at"], "<u4")].tobytes(), "seen": seen[np.frombuffer(w["word_at"], "<u4")].tobytes()})

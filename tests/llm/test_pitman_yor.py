@@ -52,6 +52,33 @@ def test_gibbs_samples_the_posterior():
     assert np.abs(share - weight / weight.sum()).max() < 0.01
 
 
+def posterior_mean(c, d, a, p):
+    """Mean tables of a dish of c customers."""
+    s = np.full(c + 1, -np.inf)
+    s[0] = 0
+    for n in range(c):
+        k = np.arange(1, n + 2)
+        s[1 : n + 2] = np.logaddexp(s[: n + 1], s[1 : n + 2] + np.log(np.maximum(n - k * d, 1e-300)))
+        s[0] = -np.inf
+    w = s[1:] + np.cumsum(np.log((P.STRENGTH + d * (a + np.arange(c))) * p))
+    w = np.exp(w - w.max())
+    return (w * np.arange(1, c + 1)).sum() / w.sum()
+
+
+@pytest.mark.parametrize("c,d,a,p", [(2, 0.6, 1000, 0.01), (60, 0.6, 100_000, 0.01), (97, 0.6, 1000, 0.01), (1000, 0.6, 100_000, 0.01), (1000, 0.8, 100_000, 0.001), (2000, 0.7, 3000, 0.05)])
+def test_production_sweeps_reach_the_posterior(c, d, a, p):
+    rng, m = np.random.default_rng(0), 3000
+    t = np.ones(m, np.int64)
+    for _ in range(16):
+        t = P.gibbs(np.full(m, c), t, np.full(m, a), np.full(m, p), d, rng, P.removal(d))
+    assert abs(t.mean() / posterior_mean(c, d, a, p) - 1) < 0.025
+
+
+def test_totals_settle():
+    assert P.settled(np.array([1e6, 1e6]), np.array([1.001e6, 1e6])) and not P.settled(np.array([1e6, 1e6]), np.array([1.02e6, 1e6]))
+    assert not P.settled(np.full(1000, 100.0), np.full(1000, 110.0))  # each within its noise, the sum is not
+
+
 def test_spelling_sums_to_one():
     counts = np.random.default_rng(1).poisson(0.3, (256, 256))
     assert np.allclose((10 ** P.spelling_model(counts)).sum(1), 1)
