@@ -6,6 +6,7 @@ between blanks, one after the other. Each worker keeps the ids of pieces it has
 
 import json
 import os
+import unicodedata
 
 import numpy as np
 
@@ -14,6 +15,11 @@ PUNCTUATION = ".,;:!?$%&*#)(|\"-"
 CACHE_ENTRIES = 600_000
 
 
+def letters(stem: str) -> bool:
+    """Whether a word is letters alone to the tokenizer too, after its normalizer: composing and lower-casing may give combining marks, which it joins with punctuation."""
+    return stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())
+
+
 class WordIds:
     """Ids of texts as little-endian bytes, `width` bytes for each id."""
 
@@ -44,7 +50,7 @@ class WordIds:
         parts = {}
         for piece in pieces:
             stem = piece.rstrip(PUNCTUATION)
-            if len(stem) == len(piece) or not stem.isalpha():
+            if len(stem) == len(piece) or not letters(stem):
                 parts[piece] = (piece.lower() if piece.isascii() and piece.isalpha() else piece,)
             else:
                 parts[piece] = (stem.lower() if stem.isascii() else stem, piece[len(stem):])

@@ -29,6 +29,15 @@ def test_cached_ids_are_the_librarys(spark, sf):
         assert np.frombuffer(ids, coder.dtype).tolist() == expected([text], 0)[0][:-1], text
 
 
+def test_letters_that_give_marks_keep_their_punctuation():
+    """U+0130 lower-cased and U+095C composed give combining marks, which the tokenizer joins with what follows; and every letter there is, before a full stop."""
+    texts = ["\u0130.", "\u091c\u095c,", "x\u0130!! \u0130stanbul. a\u095c)"] + [chr(c) + "." for c in range(0x110000) if chr(c).isalpha()]
+    coder, library = WordIds(PATH), Tokenizer.from_file(PATH)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, ids, w in zip(texts, coder.encode(texts), want) if np.frombuffer(ids, coder.dtype).tolist() != w]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 7, 200):
