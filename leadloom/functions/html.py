@@ -3,13 +3,18 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions import contact
+from leadloom.functions import contact, url
 from leadloom.functions.text import clean
 
 #: Characters of a page that are looked at.
 MOST = 180_000
 HIDDEN = r"(?is)<(script|style|noscript|svg|nav|form)\b.*?</\1\s*>|<!--.*?-->"
 BLOCK_END = r"(?i)</?(p|div|section|article|header|footer|main|aside|li|ul|ol|tr|table|h[1-6]|br|blockquote|title)\b[^>]*>"
+CHROME = r"(?is)<!--.*?-->|<(nav|footer|header)\b.*?</\1\s*>|<(\w+)\b[^>]*?\brole\s*=\s*[\"']?navigation\b.*?</\2\s*>"
+#: Labels of links that are not companies; paths and titles of articles, documents and dealer lists.
+CHROME_LABEL = r"(?i)^(tickets?|register|registration|hotels?|travel|venue|venues|accommodation|visitors?|media|sponsors?|floorplan|privacy|cookies?|login|sign in|billetterie|entradas?)$"
+OTHER_PATH = r"(?i)/(blogs?|news|press|articles?|wiki|reviews?|guides?|roundups?|jobs|careers)(/|$)|/wiki|/best-|\.(pdf|docx?|pptx?|xlsx?)$"
+OTHER_TITLE = r"(?i)\b(top\s+\d+|best\s+\d+|complete guide|how to|what is|product review|buyer'?s guide)\b|^\s*\d+\.\d+\s*:"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
@@ -43,6 +48,29 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1)), decoded))
 
 
+def company_links(html: Column, page_url: Column, skip_hosts: tuple[str, ...], cap: int = 20) -> Column:
+    """Links (place, host, url) of a directory page to companies: outside navigation, header and footer, to other hosts that are not skipped ones, without chrome labels and articles; the first of each host, up to cap."""
+    bare = lambda h: F.regexp_replace(h, r"^www\.", "")
+    body = F.regexp_replace(F.substring(F.coalesce(html, F.lit("")), 1, MOST), CHROME, " ")
+    own = bare(url.host(page_url))
+    href = lambda a: F.trim(decoded(F.regexp_replace(F.regexp_extract(a, r"""(?is)^<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1), "^[\"']|[\"']$", "")))
+    label = lambda a: clean(decoded(F.regexp_replace(a, r"<[^>]*>", " ")))
+    # other targets are on the page's own host, or no pages
+    full = lambda h: F.when(h.startswith("//"), F.concat(F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h)).otherwise(h)
+    anchors = F.regexp_extract_all(body, F.lit(r"(?is)<a\s[^>]*>.*?(?:</a\s*>|(?=<a\s)|$)"), F.lit(0))
+    rows = F.transform(anchors, lambda a: F.struct(F.regexp_replace(full(href(a)), "#.*$", "").alias("url"), label(a).alias("label")))
+    rows = F.transform(rows, lambda r: F.struct(bare(url.host(r["url"])).alias("host"), r["url"].alias("url"), r["label"].alias("label")))
+    kept = F.filter(
+        rows,
+        lambda r: F.regexp_like(r["url"], F.lit("(?i)^https?://"))
+        & (r["host"] != "") & (r["host"] != own) & ~F.endswith(r["host"], F.concat(F.lit("."), own)) & ~url.host_in(r["host"], skip_hosts)
+        & ~F.regexp_like(r["label"], F.lit(CHROME_LABEL)) & ~F.regexp_like(r["label"], F.lit(OTHER_TITLE)) & ~F.regexp_like(url.path(r["url"]), F.lit(OTHER_PATH)),
+    )
+    hosts = F.transform(kept, lambda r: r["host"])
+    first = F.filter(kept, lambda r, i: F.array_position(hosts, r["host"]) == i + 1)
+    return F.transform(F.slice(first, 1, cap), lambda r, i: F.struct((i + 1).cast("long").alias("place"), r["host"].alias("host"), r["url"].alias("url")))
+
+
 def is_shell(html: Column) -> Column:
     """A page that scripts would fill: little to see for its size, or the mark of an application root."""
     seen, raw = F.length(text_of(html)), F.length(F.coalesce(html, F.lit("")))

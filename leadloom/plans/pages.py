@@ -97,6 +97,12 @@ def directory_links(spark, sf_dir):
     return rows.groupBy("link").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "link").limit(20)
 
 
+def directory_companies(spark, sf_dir):
+    """A row for each page and company host that it links to, up to twenty of a page in its order."""
+    links = html.company_links(F.col("html"), F.col("url"), (*BLOCKED, *url.SOCIAL_HOSTS))
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("l")).select("page_id", "l.place", "l.host", "l.url")
+
+
 def html_text(spark, sf_dir):
     """Visible text of each page: lines, characters, and whether scripts would have to fill it."""
     rows = read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("t"), html.is_shell(F.col("html")).alias("shell"))
@@ -122,6 +128,7 @@ QUERIES = {
     "q_host_first_page": host_first_page, "q_registrable_counts": registrable_counts, "q_blocklist_antijoin": blocklist_antijoin, "q_blocklist_semijoin": blocklist_semijoin,
     "q_company_name_from_host": company_names, "q_url_path_category": url_categories, "q_on_topic_page_filter": on_topic, "q_page_fingerprint_repeat": page_fingerprints,
     "q_company_memory_merge": company_memory, "q_query_parameters": query_parameters, "q_next_page_url": next_pages, "q_page_titles": titles, "q_directory_links": directory_links,
+    "q_directory_companies": directory_companies,
 }
 
 HOST = r"coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '')"
