@@ -1,7 +1,12 @@
 """What the operators share: intermediate tables in the shared folder, and null-safe columns."""
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +15,45 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: The folder that new tables go to while folder() is open, if not the shared one.
+_inside: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own and a cluster an error."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the open folder or the shared one."""
+    return f"{_inside.get() or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def folder(spark: SparkSession, tag: str) -> Iterator[str]:
+    """A fresh folder for all tables that are written while it is open, so that they can be removed together."""
+    path = new_path(spark, tag)
+    before = _inside.set(path)
+    try:
+        yield path
+    finally:
+        _inside.reset(before)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of ours, and let the driver's JVM notice which shuffles nothing refers to any more: their files go then."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -35,11 +66,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        remove(tables[0].sparkSession, *{f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()})
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -47,6 +75,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front where df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """df with a long that names each row; fixed once the result is written."""
     return df.withColumn(name, F.monotonically_increasing_id())

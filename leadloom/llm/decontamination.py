@@ -6,12 +6,14 @@ GAP between documents, so that nothing matches across two. Terms outside the tes
 vocabulary is small enough to send along; otherwise every term is indexed.
 
 A phrase is searched from its rarest term in the whole corpus on: each term's positions, less its place in the phrase,
-are intersected in turn, until none or exact occurrences are left. A proximity search asks for all distinct terms, in
-any order, among `slop` words more than the phrase has. The test set is searched in blocks of bounded size.
+are intersected in turn, until none or exact occurrences are left. A proximity search, beside it, asks for all distinct
+terms, in any order, among `slop` words more than the phrase has; its finds are columns of their own. The test set is
+searched in blocks of bounded size, each of which gives the documents with finds alone.
 
 Words: runs of digits, ASCII letters (lower-cased) and all characters beyond ASCII. Null and empty texts have no words;
 a null item_id counts as ''; items are told apart by id, so rows that repeat an id are one item; repeated documents are
-judged one by one; other columns are ignored or, in decontaminated(), returned as they are.
+judged one by one; other columns are ignored or, in decontaminated(), returned as they are. Without documents there are
+no rows, without items no finds; a text of any length is one document of one segment.
 """
 
 from collections.abc import Iterator
@@ -24,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, text_or_empty, with_row_key, written
+from leadloom.llm.common import discard, fresh, text_or_empty, with_row_key, written
 
 #: Words of a window; words that positions skip between documents (more than any window with its slop).
 WINDOW, GAP = 10, 256
+#: Words more than a window has among which the query looks for its terms.
+SLOP = 2
 #: Bytes of test text searched at a time; bytes of test vocabulary up to which the index is restricted to it.
 TEST_BYTES, VOCABULARY_BYTES = 8 << 20, 64 << 20
 
@@ -35,7 +39,8 @@ TEST_BYTES, VOCABULARY_BYTES = 8 << 20, 64 << 20
 TO_WORDS = bytes(b if chr(b).isdigit() and b < 128 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 SEGMENTS = "segment long, rows array<long>, doc_ids array<long>, n_words array<long>, terms array<binary>, postings array<binary>"
-HITS = "row long, doc_id long, n_words long, items array<string>, spans array<struct<start: long, end: long>>"
+SPANS = "array<struct<start: long, end: long>>"
+HITS = f"row long, items array<string>, spans {SPANS}, near_items array<string>, near_spans {SPANS}"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -107,21 +112,26 @@ def phrase_starts(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], cou
     return found
 
 
-def near_spans(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], counts: dict[bytes, int], slop: int) -> list[tuple[int, int]]:
-    """Spans of len(phrase) + slop words that hold every distinct term, for each place of the rarest term."""
+def near_spans(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], counts: dict[bytes, int], slop: int) -> list[tuple[int, int, int]]:
+    """Spans of len(phrase) + slop words that hold every distinct term, with the place of the rarest term by which each was found."""
     terms = sorted(set(phrase), key=lambda w: (counts[w], w))
-    width, found = len(phrase) + slop, []
+    width, places = len(phrase) + slop, lists[terms[0]]
+    for w in terms[1:]:
+        # places with the term near enough, before any span is looked at
+        places = places[np.searchsorted(lists[w], places + width) > np.searchsorted(lists[w], places - width, "right")]
+        if not len(places):
+            return []
+    found = []
     for back in range(width):
-        starts = lists[terms[0]] - back
+        starts = places - back
         for w in terms[1:]:
-            held = np.searchsorted(lists[w], starts + width) > np.searchsorted(lists[w], starts)
-            starts = starts[held]
-        found += [(s, s + width) for s in starts.tolist()]
+            starts = starts[np.searchsorted(lists[w], starts + width) > np.searchsorted(lists[w], starts)]
+        found += [(s, s + width, s + back) for s in starts.tolist()]
     return found
 
 
 def search(index: DataFrame, items: list[tuple[str, str | None]], window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Documents with hits of a block of test items: which items, and the merged spans of hit words."""
+    """Documents with finds of a block of test items: which items, and the merged spans of hit words; the same for proximity, if slop is not 0."""
     spark = index.sparkSession
     of: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
@@ -144,32 +154,42 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, counts = known.value
-        rarest = [min(p, key=lambda w: (counts[w], w)) for p, _ in phrases]
+        from_rarest: dict[bytes, list[tuple]] = {}
+        for phrase, ids in phrases:
+            from_rarest.setdefault(min(phrase, key=lambda w: (counts[w], w)), []).append((phrase, ids))
         for batch in batches:
             for seg in batch.to_pylist():
                 lists = {w: positions(p) for w, p in zip(seg["terms"], seg["postings"]) if w in counts}
                 n = np.array(seg["n_words"], np.int64)
                 begins = np.cumsum(n + GAP) - n - GAP
-                items: dict[int, set[str]] = {}
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for first, (phrase, ids) in zip(rarest, phrases):
-                    if first not in lists or not all(w in lists for w in phrase):
-                        continue
-                    if slop:
-                        hits = near_spans(phrase, lists, counts, slop)
-                    else:
-                        hits = [(s, s + len(phrase)) for s in phrase_starts(phrase, lists, counts).tolist()]
-                    for start, end in hits:
-                        doc = int(np.searchsorted(begins, max(start, 0), "right")) - 1
-                        items.setdefault(doc, set()).update(ids)
-                        spans.setdefault(doc, []).append((max(0, start - int(begins[doc])), min(end - int(begins[doc]), int(n[doc]))))
-                rows = [
-                    {"row": seg["rows"][d], "doc_id": seg["doc_ids"][d], "n_words": seg["n_words"][d], "items": sorted(items.get(d, ())), "spans": [{"start": a, "end": b} for a, b in merged(spans.get(d, []))]}
-                    for d in range(len(n))
-                ]
+                found: tuple[dict, dict] = {}, {}
+
+                def book(kind: int, start: int, end: int, place: int, ids: list[str]) -> None:
+                    """A span belongs to the document of the place, and is cut to it."""
+                    doc = int(np.searchsorted(begins, place, "right")) - 1
+                    held, spans = found[kind].setdefault(doc, (set(), []))
+                    held.update(ids)
+                    spans.append((max(0, start - int(begins[doc])), min(end - int(begins[doc]), int(n[doc]))))
+
+                for first in lists.keys() & from_rarest.keys():
+                    for phrase, ids in from_rarest[first]:
+                        if not all(w in lists for w in phrase):
+                            continue
+                        for start in phrase_starts(phrase, lists, counts).tolist():
+                            book(0, start, start + len(phrase), start, ids)
+                        for start, end, place in near_spans(phrase, lists, counts, slop) if slop else ():
+                            book(1, start, end, place, ids)
+                rows = []
+                for d in sorted(found[0].keys() | found[1].keys()):
+                    row = {"row": seg["rows"][d]}
+                    for kind, name in enumerate(("", "near_")):
+                        held, spans = found[kind].get(d, ((), []))
+                        row |= {f"{name}items": sorted(held), f"{name}spans": [{"start": a, "end": b} for a, b in merged(spans)]}
+                    rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, hit_schema)
 
-    hit_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    hit_schema = pa.schema([("row", pa.int64()), ("items", pa.list_(pa.string())), ("spans", spans), ("near_items", pa.list_(pa.string())), ("near_spans", spans)])
     return index.mapInArrow(look_up, HITS)
 
 
@@ -185,7 +205,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, test_bytes: int = TEST_BYTES, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
-    """Each of docs (row, doc_id, text) with the items of benchmark (item_id, text) found in it, its hit words and their spans."""
+    """Each of docs (row, doc_id, text) with the items of benchmark (item_id, text) found in it, its hit words and their spans; near_items and near_spans are what proximity finds (slop not 0)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_or_empty().alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // test_bytes) or 1
@@ -201,26 +221,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
             vocabulary = None
             break
     index = build_index(docs, vocabulary)
-    found = [search(index, block(k), window, slop) for k in range(n_blocks)]
-    if n_blocks > 1:
-        both = reduce(DataFrame.union, found).groupBy("row", "doc_id", "n_words")
-        every = both.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-        zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-        step = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n"))
-        return every.withColumn("n_hit", F.aggregate("spans", zero, step, lambda acc: acc["n"]))
-    return found[0].withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+    found = reduce(DataFrame.union, [search(index, block(k), window, slop) for k in range(n_blocks)])
+    all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    each = found.groupBy("row").agg(*[F.array_sort(all_of(c)).alias(c) for c in ("items", "spans", "near_items", "near_spans")])
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n"))
+    rows = index.select(F.explode(F.arrays_zip("rows", "doc_ids", "n_words")).alias("doc")).select("doc.rows", "doc.doc_ids", "doc.n_words").toDF("row", "doc_id", "n_words")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    every = rows.join(each, "row", "left").select("row", "doc_id", "n_words", none("items", "array<string>"), none("spans", SPANS), none("near_items", "array<string>"), none("near_spans", SPANS))
+    return every.withColumn("n_hit", F.aggregate("spans", zero, step, lambda acc: acc["n"]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those in which a window of a test item occurs."""
-    rows = written(with_row_key(docs, "__row"), "rows")
-    clean = hits(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).filter("n_hit = 0").select(F.col("row").alias("__row"))
-    return rows.join(clean, "__row", "left_semi").drop("__row")
+    key = fresh(docs, "row_key")
+    rows = written(with_row_key(docs, key), "rows")
+    clean = hits(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).filter("n_hit = 0").select(F.col("row").alias(key))
+    return rows.join(clean, key, "left_semi").drop(key)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its words, its hit words and the items that they come from."""
+    """Every document with its words, its hit words, the items that they come from, and how many items proximity finds."""
     docs = with_row_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "row")
-    found = hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP)
     ids = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    n = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), n("near_items").alias("n_near_items"))

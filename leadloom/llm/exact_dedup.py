@@ -11,7 +11,8 @@ Copies are merged in each task before anything is shuffled, and joins on names a
 
 Null texts count as empty, and empty texts equal one another. Of equal texts the row with the most code points stays,
 then the smallest doc_id (nulls last), then the first of repeated rows. Other columns are ignored or, in
-deduplicated(), returned as they are, whatever their names.
+deduplicated(), returned as they are, whatever their names. An empty table gives an empty result; a text of any length
+is a row for each of its blocks.
 """
 
 from functools import reduce
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, with_row_key, written
+from leadloom.llm.common import discard, fresh, with_row_key, written
 
 BLOCK = 4096
 
@@ -34,11 +35,22 @@ def normalised(text: Column) -> Column:
     return F.encode(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", ""), "utf-8")
 
 
+def measured(rows: DataFrame, size: int, hash_of) -> DataFrame:
+    """row, doc_id, points, text_sha256 and the hashes of its blocks for each of rows (row, doc_id, text). Written; the text is normalised once for all of them."""
+    norm = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), normalised(F.col("text")).alias("norm"))
+    hashes = F.transform(block_numbers(size), lambda pos: hash_of(F.substring("norm", pos * size + 1, F.lit(size))))
+    return written(norm.select("row", "doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), hashes.alias("hashes")), "measured")
+
+
+def block_numbers(size: int) -> Column:
+    """0, 1, ... for the blocks of norm. An empty text is one empty block."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("norm") / size), F.lit(1)).cast("int") - 1)
+
+
 def blocks(rows: DataFrame, size: int, hash_of) -> DataFrame:
-    """row, pos, h and block: every block of rows (row, text). An empty text is one empty block."""
+    """row, pos, h and block: every block of rows (row, text)."""
     norm = rows.select("row", normalised(F.col("text")).alias("norm"))
-    n = F.greatest(F.ceil(F.octet_length("norm") / size), F.lit(1)).cast("int")
-    cut = norm.select("row", "norm", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    cut = norm.select("row", "norm", F.explode(block_numbers(size)).alias("pos"))
     block = F.substring("norm", F.col("pos") * size + 1, F.lit(size))
     return cut.select("row", "pos", block.alias("block")).withColumn("h", hash_of(F.col("block")))
 
@@ -48,15 +60,16 @@ def numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return written(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def block_names(rows: DataFrame, size: int, hash_of) -> tuple[DataFrame, list[DataFrame]]:
+def block_names(rows: DataFrame, facts: DataFrame, size: int, hash_of) -> tuple[DataFrame, list[DataFrame]]:
     """row, pos and the name of the block there (written), and tables to discard later."""
     cut = blocks(rows, size, hash_of)
     names = written(cut.select("h", "block").distinct().sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name")), "names")
-    shared = names.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("name"))
-    placed = cut.select("row", "pos", "h").join(shared, "h")
+    # written, so that both sides of the join are plain shuffles, whose large partitions can be split
+    shared = written(names.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("name")), "shared")
+    placed = facts.select("row", F.posexplode("hashes").alias("pos", "h")).join(shared, "h")
     found = placed.filter("n = 1").select("row", "pos", "name")
     clashes = shared.filter("n > 1").select("h")
-    spare = [names]
+    spare = [names, shared]
     if not clashes.isEmpty():
         rest = cut.join(clashes, "h", "left_semi")
         own = numbered(rest.select("h", "block").distinct(), ["h", "block"])
@@ -65,9 +78,9 @@ def block_names(rows: DataFrame, size: int, hash_of) -> tuple[DataFrame, list[Da
     return written(found, "named"), spare
 
 
-def identities(rows: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFrame:
-    """row, level and name for each of rows (row long, text): equal exactly for equal normalised texts. Written."""
-    named, spare = block_names(rows, size, hash_of)
+def identities(rows: DataFrame, facts: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFrame:
+    """row, level and name for each of rows (row long, text), of which facts are measured(): equal exactly for equal normalised texts. Written."""
+    named, spare = block_names(rows, facts, size, hash_of)
     found, level = [], 0
     while True:
         # a document is done when its sequence has a single name
@@ -93,24 +106,26 @@ def identities(rows: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFr
     return out
 
 
-def groups(docs: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFrame:
-    """One row for each of docs (doc_id, text): row, doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs if "row" in docs.columns else written(with_row_key(docs.select("doc_id", "text"), "row"), "rows")
-    names = identities(rows, size, hash_of)
-    facts = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    each = written(facts.join(names, "row"), "facts")
+def groups(rows: DataFrame, size: int = BLOCK, hash_of=F.xxhash64) -> DataFrame:
+    """One row for each of rows (row long, doc_id, text; row names it and stays the same): row, doc_id, keep_id, group_size, kept, text_sha256."""
+    facts = measured(rows, size, hash_of)
+    names = identities(rows, facts, size, hash_of)
+    each = written(facts.drop("hashes").join(names, "row"), "facts")
     # written, so that both sides of the join are plain shuffles, whose large partitions can be split
     best = written(each.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"))).alias("best")), "groups")
+    discard(facts, names)
     return each.join(best, ["level", "name"]).select("row", "doc_id", (-F.col("best.less")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.first")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that groups() drops, all columns as they were."""
-    rows = written(with_row_key(docs, "__row"), "rows")
-    kept = groups(rows.select(F.col("__row").alias("row"), "doc_id", "text")).filter("kept").select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    key = fresh(docs, "row_key")
+    rows = written(with_row_key(docs, key), "rows")
+    kept = groups(rows.select(F.col(key).alias("row"), "doc_id", "text")).filter("kept").select(F.col("row").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its group that stays."""
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return groups(written(with_row_key(docs, "row"), "rows")).drop("row")

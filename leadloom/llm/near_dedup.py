@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, text_or_empty, with_row_key, written
+from leadloom.llm.common import discard, fresh, text_or_empty, with_row_key, written
 from leadloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -225,9 +225,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns as they were."""
-    rows = written(with_row_key(docs, "__row"), "rows")
-    kept = groups(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).filter("row = kept_row").select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    key = fresh(docs, "row_key")
+    rows = written(with_row_key(docs, key), "rows")
+    kept = groups(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).filter("row = kept_row").select(F.col("row").alias(key))
+    return rows.join(kept, key, "left_semi").drop(key)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

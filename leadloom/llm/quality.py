@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, remainder, text_or_empty, with_row_key, written
+from leadloom.llm.common import discard, fresh, remainder, text_or_empty, with_row_key, written
 
 FOLDS, ACCEPT = 5, 0.3
 #: Random features, kernel width in units of sqrt(statistics), ridge penalty a row, and calibration bins.
@@ -166,9 +166,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score below ACCEPT."""
-    rows = written(with_row_key(docs, "__row"), "rows")
-    good = scored(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "quality")).filter(F.col("score") >= ACCEPT)
-    return rows.join(good.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row")
+    key = fresh(docs, "row_key")
+    rows = written(with_row_key(docs, key), "rows")
+    good = scored(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "quality")).filter(F.col("score") >= ACCEPT)
+    return rows.join(good.select(F.col("row").alias(key)), key, "left_semi").drop(key)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

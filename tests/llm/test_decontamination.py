@@ -49,11 +49,37 @@ def test_against_brute_force(spark, window, test_bytes, vocabulary_bytes):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got), key=str) == brute(DOCS, ITEMS, window)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, 1, "b x a y c"), (2, 2, "a b x x x c"), (3, 3, "a b"), (4, 4, "c a b")], "row long, doc_id long, text string")
-    items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
-    found = lambda slop: sorted(r.doc_id for r in D.hits(docs, items, 10, slop).collect() if r.n_hit)
-    assert found(0) == [] and found(1) == [4] and found(2) == [1, 4] and found(3) == [1, 2, 4]
+def brute_near(docs, items, n, slop):
+    """doc -> (item ids, covered words) of runs of words, slop more than a window's, that hold all of its terms."""
+    out = []
+    for doc_id, text in docs:
+        own, ids, covered = split(text), set(), set()
+        for item, t in items:
+            w = split(t)
+            for k in range(max(1, len(w) - n + 1) if w else 0):
+                window = w[k : k + n]
+                width = len(window) + slop
+                if not set(window) <= set(own):
+                    continue
+                for i in range(1 - width, len(own)):
+                    if set(window) <= set(own[max(0, i) : i + width]):
+                        ids.add(str(item))
+                        covered.update(range(max(0, i), min(len(own), i + width)))
+        out.append((doc_id, sorted(ids), len(covered)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("slop", [0, 1, 2, 3])
+def test_proximity(spark, slop, parts):
+    texts = [(1, "b x a y c"), (2, "a b x x x c"), (3, "a b"), (4, "c a b"), (5, "x x x x"), (6, "a b c"), (7, "c"), (8, "a a b b c c z q"), (9, None)]
+    docs = spark.createDataFrame([(d, d, t) for d, t in texts], "row long, doc_id long, text string").repartition(parts)
+    tests = [(7, "a b c"), (8, "q z"), (9, "missing a")]
+    got = D.hits(docs, spark.createDataFrame(tests, "item_id long, text string"), 10, slop).collect()
+    exact = {d: (h, i) for d, _, h, i in brute(texts, tests)}
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == exact
+    near = sorted((r.doc_id, r.near_items, sum(s.end - s.start for s in r.near_spans)) for r in got)
+    assert near == (brute_near(texts, tests, 10, slop) if slop else [(d, [], 0) for d, _ in texts])
 
 
 def test_empty_tables(spark):
@@ -64,7 +90,7 @@ def test_empty_tables(spark):
 
 
 def test_decontaminated_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, "short item", 5, "k"), (2, "fine", 6, None), (3, None, 7, "k")], "doc_id long, text string, n_hit int, row string")
+    docs = spark.createDataFrame([(1, "short item", 5, "k"), (2, "fine", 6, None), (3, None, 7, "k")], "doc_id long, text string, row_key int, row string")
     kept = D.decontaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
@@ -76,3 +102,6 @@ def test_query(spark, sf):
     want = [(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in brute(docs, items)]
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     assert any(r.contaminated for r in got)
+    few = docs[:60]
+    near = {r.doc_id: r.n_near_items for r in got}
+    assert all(near[d] == len(i) for d, i, _ in brute_near(few, items, 10, D.SLOP)) and all(near[r.doc_id] >= r.n_items for r in got)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.llm import exact_dedup as E
+from leadloom.llm.common import with_row_key, written
 
 
 def brute(rows):
@@ -32,17 +33,17 @@ def test_against_brute_force(spark, size, clash):
     rows = [(i if i != 3 else None, t) for i, t in enumerate(TEXTS)] + [(4, "ab"), (6, "abc" * 9), (6, "abc" * 9)]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, name int, level int").repartition(3)
     hash_of = (lambda b: F.octet_length(b).cast("long") % 3) if clash else F.xxhash64
-    assert got(E.groups(docs.select("doc_id", "text"), size, hash_of)) == brute(rows)
+    assert got(E.groups(written(with_row_key(docs, "row"), "rows"), size, hash_of)) == brute(rows)
 
 
 def test_deduplicated_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, "a b", "k", 7), (2, "ab", None, 8), (3, None, "k", 9)], "doc_id long, text string, row string, name int")
+    docs = spark.createDataFrame([(1, "a b", "k", 7, 0), (2, "ab", None, 8, 0), (3, None, "k", 9, 0)], "doc_id long, text string, row string, name int, row_key int")
     kept = E.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
 def test_empty(spark):
-    assert E.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert E.groups(spark.createDataFrame([], "row long, doc_id long, text string")).count() == 0
 
 
 def test_query(spark, sf):
