@@ -110,11 +110,11 @@ class Stirling:
 def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent: tuple, numbers: Stirling, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with two customers or more, each from its conditional distribution.
 
-    others: tables of the restaurant's other dishes. parent = (first, step, log_total): the chance that the parent
-    serves the dish to a further table is (first + step * k) / exp(log_total), when it has served k beyond the first one.
+    others: tables of the restaurant's other dishes. parent = (first, step, total): the chance that the parent
+    serves the dish to a further table is (first + step * k) / (total + step * k), when it has served k beyond the first one.
     """
     d, out = numbers.discount, tables.copy()
-    first, step, log_total = parent
+    first, step, total = parent
     order = np.argsort(customers, kind="stable")
     sizes = customers[order]
     at, end = 0, int(np.searchsorted(sizes, EXACT, "right"))
@@ -123,21 +123,20 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent:
         stop = min(int(np.searchsorted(sizes, c, "right")), at + max(1, (1 << 21) // c))
         i = order[at:stop]
         k = np.arange(1, c)
-        gain = np.log(STRENGTH + d * (others[i][:, None] + k)) + np.log(first[i][:, None] + step * (k - 1)) - log_total[i][:, None]
+        gain = np.log(STRENGTH + d * (others[i][:, None] + k)) + np.log(first[i][:, None] + step * (k - 1)) - np.log(total[i][:, None] + step * (k - 1))
         weight = np.hstack([np.zeros((len(i), 1)), np.cumsum(gain, 1)]) + numbers.exact[c, 1 : c + 1]
         weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
         out[i] = 1 + (weight < rng.random(len(i))[:, None] * weight[:, -1:]).sum(1)
         at = stop
     for at in range(end, len(order), 1 << 14):
         i = order[at : at + (1 << 14)]
-        c, a, p, log_p = customers[i].astype(float), STRENGTH / d + others[i], first[i], log_total[i]
-        base = log_gamma(a + 1) + (log_gamma(p) if step else 0)
+        c, a, p, all_p = customers[i].astype(float), STRENGTH / d + others[i], first[i], total[i]
 
-        def log_weight(t, at=slice(None)):
+        def log_weight(t):
+            over = (lambda x: x[:, None]) if t.ndim > 1 else (lambda x: x)
             more = t - 1
-            spread = (lambda x: x[:, None]) if np.ndim(t) > 1 else (lambda x: x)
-            from_parent = log_gamma(spread(p) + more) if step else more * np.log(spread(p))
-            return numbers.large(spread(c), t) + more * np.log(d) + log_gamma(spread(a) + t) + from_parent - more * spread(log_p) - spread(base)
+            from_parent = log_gamma(over(p) + more) - log_gamma(over(all_p) + more) if step else more * np.log(over(p / all_p))
+            return numbers.large(over(c), t) + more * np.log(d) + log_gamma(over(a) + t) + from_parent
 
         def narrowed(low, high, go_up):
             """The last whole number from low on at which go_up holds."""
@@ -154,7 +153,7 @@ def draw(customers: np.ndarray, tables: np.ndarray, others: np.ndarray, parent:
         stride = np.maximum(1, np.ceil((far - near + 1) / GRID))
         t = near[:, None] + stride[:, None] * np.arange(GRID + 1)
         weight = np.where(t <= far[:, None], log_weight(np.minimum(t, c[:, None])) - peak[:, None], -np.inf)
-        weight = np.cumsum(np.exp(weight), 1)
+        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
         place = (weight < rng.random(len(i))[:, None] * weight[:, -1:]).sum(1)
         jitter = np.rint((rng.random(len(i)) - 0.5) * stride)
         out[i] = np.clip(t[np.arange(len(i)), place] + jitter, 1, c)
@@ -200,13 +199,13 @@ class Level:
             besides = served[self.word[i]] - t + 1  # its first table is always there
             first = besides - up_discount * np.minimum(self.word_tables[self.word[i]], besides) + (STRENGTH + up_discount * all_t) * self.base[self.word[i]]
             others = self.rest[self.of[i]] + own[self.of[i]] - t
-            self.tables[i] = draw(self.customers[i], t, others, (first, 1, np.log(STRENGTH + np.maximum(all_c - t + 1, 1))), numbers, rng)
+            self.tables[i] = draw(self.customers[i], t, others, (first, 1, STRENGTH + np.maximum(all_c - t + 1, 1)), numbers, rng)
             own += np.bincount(self.of[i], self.tables[i] - t, len(own)).astype(np.int64)
         served = self.served()
         self.word_tables = np.clip(self.word_tables, np.minimum(served, 1), served)
         many = np.flatnonzero(served > 1)
         t = self.word_tables[many]
-        self.word_tables[many] = draw(served[many], t, all_t - t, (np.maximum(self.base[many], 1e-300), 0, np.zeros(len(many))), Stirling(up_discount), rng)
+        self.word_tables[many] = draw(served[many], t, all_t - t, (np.maximum(self.base[many], 1e-300), 0, np.ones(len(many))), Stirling(up_discount), rng)
 
 
 def spelling_model(counts: np.ndarray) -> np.ndarray:
