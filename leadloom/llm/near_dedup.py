@@ -28,8 +28,8 @@ from leadloom.llm.components import components
 SHINGLE, PERCENT = 5, 75
 K, MATCHES = 64, 32
 SEED = 7
-#: Classes and set bytes of a chunk; candidates up to which their ids are broadcast; word hashes that a worker keeps.
-CHUNK, CHUNK_BYTES, BROADCAST_ROWS, CACHE_ENTRIES = 256, 4 << 20, 1 << 20, 1_000_000
+#: Classes and set bytes of a chunk; candidates up to which their ids are broadcast; word hashes that a worker keeps, of words of so many bytes at most.
+CHUNK, CHUNK_BYTES, BROADCAST_ROWS, CACHE_ENTRIES, CACHE_BYTES = 256, 4 << 20, 1 << 20, 500_000, 64
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,6 +40,8 @@ class WordHashes(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > CACHE_BYTES:
+            return xxhash.xxh64_intdigest(word)
         if len(self) > CACHE_ENTRIES:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)

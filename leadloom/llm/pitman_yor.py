@@ -36,11 +36,11 @@ from leadloom.llm.common import discard, remainder, text_or_empty, written
 FOLDS, SMOOTHING = 10, 0.1
 #: States that are averaged; random classes of dishes in a sweep; sweeps between which table totals are compared, the share and
 #: square roots by which they may change then; sweeps after which it is an error if they have not settled.
-SAMPLES, COLOURS, LAG, SETTLED, NOISE, MOST_SWEEPS = 3, 4, 2, 0.001, 3, 1000
+SAMPLES, COLOURS, LAG, SETTLED, NOISE, MOST_SWEEPS = 3, 2, 1, 0.001, 3, 1000
 STRENGTH = 1.0
 SEED = 10
 #: Tokens after which a segment is closed; pairs of all segments that a bucket takes.
-SEGMENT_TOKENS, BUCKET_PAIRS = 3_000_000, 3_000_000
+SEGMENT_TOKENS, BUCKET_PAIRS = 2_000_000, 1_500_000
 #: Customers up to which Stirling numbers are summed up by their recursion; beyond, the same numbers are had from an integral over CONTOUR
 #: points, or its saddle point where that lies FAR out (the tests hold the draws of both against each other). Places at which a dish of more is looked at.
 EXACT, CONTOUR, FAR, GRID = 256, 12, 20.0, 48

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ FOLDS, ACCEPT = 5, 0.3
 #: Random features, kernel width in units of sqrt(statistics), ridge penalty a row, and calibration bins.
 FEATURES, WIDTH, PENALTY, BINS = 256, 1.5, 1e-3, 512
 SEED = 2
-#: Tasks that sum normal equations; each sends one matrix of FEATURES + 1 squared to the driver.
-SUMMING_TASKS = 32
+#: Sums of normal equations that come to the driver, each a matrix of FEATURES + 1 squared; tasks add up theirs to these first.
+SUMS = 32
 
 _bytes = np.arange(256)
 UPPER, LOWER = (_bytes >= 65) & (_bytes <= 90), (_bytes >= 97) & (_bytes <= 122)
@@ -129,9 +130,18 @@ def trained(rows: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             z = model.features(stacked(batch))
             total, right = total + z.T @ z, right + z.T @ batch.column("label").to_numpy()
-        yield pa.record_batch([pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["total", "right"])
-
-    parts = known.filter(F.col("fold") != FOLDS - 1).select("label", "stats").coalesce(SUMMING_TASKS).mapInArrow(equations, "total binary, right binary").collect()
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % SUMS], pa.int64()), pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["part", "total", "right"])
+
+    def added(found: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+        total, right = np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1)
+        for batch in found:
+            for a, b in zip(batch.column("total").to_pylist(), batch.column("right").to_pylist()):
+                total, right = total + np.frombuffer(a), right + np.frombuffer(b)
+        return pa.record_batch([pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["total", "right"])
+
+    each = known.filter(F.col("fold") != FOLDS - 1).select("label", "stats").mapInArrow(equations, "part long, total binary, right binary")
+    # tasks' sums are added up by remainder, batch by batch, so that no number of tasks fills one place
+    parts = each.repartition(SUMS, "part").select("total", "right").mapInArrow(lambda batches: iter([added(batches)]), "total binary, right binary").collect()
     total = sum((np.frombuffer(r.total) for r in parts), np.zeros((FEATURES + 1) ** 2)).reshape(FEATURES + 1, FEATURES + 1)
     right = sum((np.frombuffer(r.right) for r in parts), np.zeros(FEATURES + 1))
     n = max(1.0, total[-1, -1])

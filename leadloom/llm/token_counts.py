@@ -6,7 +6,8 @@ to the next blank. The driver proves once, by encoding each vocabulary string al
 token; executors count those directly and merge only the rest, keeping the counts of rests they have met within a bound.
 A model whose pieces do not have that form is applied to whole texts instead.
 
-Null and empty texts have no tokens; repeated rows are counted one by one; other columns are ignored.
+Null and empty texts have no tokens; repeated rows are counted one by one; an empty table gives an empty result; a text of
+any length is one row of one task; other columns are ignored.
 """
 
 import re
@@ -20,8 +21,8 @@ from leadloom.llm.common import text_or_empty
 
 MARK = "▁"
 LIMIT = 4096
-#: Counts of rests that a worker keeps.
-CACHE_ENTRIES = 1_000_000
+#: Counts of rests that a worker keeps; characters up to which a rest is kept, so that texts without blanks do not fill the memory.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 
 def processor(path: str):
@@ -51,6 +52,8 @@ class Counter(dict):
         self.lone_blank = len(self.model.encode("a ")) - len(self.model.encode("a"))
 
     def __missing__(self, word: str) -> int:
+        if len(word) > CACHE_CHARS:
+            return len(self.model.encode(word, num_threads=1))
         if len(self) > self.entries:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))

@@ -12,7 +12,8 @@ import numpy as np
 
 #: ASCII punctuation that may follow a word without being part of it; the apostrophe starts contractions and stays out.
 PUNCTUATION = ".,;:!?$%&*#)(|\"-"
-CACHE_ENTRIES = 600_000
+#: Pieces that a worker keeps, and characters up to which it keeps them, so that texts without blanks do not fill the memory.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 
 
 def letters(stem: str) -> bool:
@@ -70,6 +71,9 @@ class WordIds:
         found = []
         for text in texts:
             words = (text or "").replace("\n", " ").split(" ")
+            if max(map(len, words)) > CACHE_CHARS:
+                found.append(b"".join([self.fresh([w])[0] if len(w) > CACHE_CHARS else self.encode([w])[0] for w in words]))
+                continue
             try:
                 found.append(b"".join(map(self.pieces.__getitem__, words)))
             except KeyError:
