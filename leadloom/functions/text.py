@@ -80,3 +80,38 @@ def filled(template: str, **values: Column) -> Column:
         for form in dict.fromkeys((key, key.lower(), key.upper())):
             out = F.replace(out, F.lit("{{" + form + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+#: State codes that are also words; those for which neither "in" nor "near" is enough.
+CODES_THAT_ARE_WORDS = ("in", "or", "me", "hi", "ok", "id", "la", "ma", "md", "mt", "ne", "pa", "co", "de")
+
+
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """Distinct terms of three letters or more that stand in a text as whole words, in order of the terms."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    asked = list(dict.fromkeys(t.strip().lower() for t in terms if len(t.strip()) > 2))
+    found = [F.when(F.regexp_like(low, F.lit(rf"(?<![a-z0-9])\Q{t}\E(?![a-z0-9])")), F.lit(t)) for t in asked]
+    return F.filter(F.array(*found), lambda t: t.isNotNull())
+
+
+def state_code_hit(text: Column, code: str) -> Column:
+    """Whether a two-letter state code stands in a text as a place: after a comma, before a postal code, or after "in" or "near" where the code is no word."""
+    low, c = F.lower(F.coalesce(text, F.lit(""))), code.strip().lower()
+    if len(c) != 2:
+        return F.lit(False)
+    forms = [rf",\s*{c}\b", rf"\b{c}\s+\d{{5}}\b"] + ([] if c in CODES_THAT_ARE_WORDS else [rf"(?:in|near)\s+{c}\b"])
+    return F.regexp_like(low, F.lit("|".join(f"(?:{f})" for f in forms)))
+
+
+def json_part(text: Column) -> Column:
+    """The JSON text within an answer: of a fenced block if there is one, else the whole, the outermost list or the outermost object, whichever is valid first; null if none is."""
+    raw = F.trim(text)
+    fenced = F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1)
+    raw = F.when(F.regexp_like(raw, F.lit(r"(?is)```(?:json)?\s*.*?```")), F.trim(fenced)).otherwise(raw)
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(valid(raw), valid(F.regexp_extract(raw, r"(?s)(\[.*\])", 1)), valid(F.regexp_extract(raw, r"(?s)(\{.*\})", 1)))
+
+
+def first_of(*values: Column) -> Column:
+    """The first value that is not blank."""
+    return F.coalesce(*[F.when(F.trim(v) != "", v) for v in values])

@@ -94,3 +94,31 @@ def product_name(url: Column) -> Column:
     """The last path segment without extension as title words."""
     slug = F.regexp_replace(F.element_at(F.split(F.regexp_replace(path(url), r"/+$", ""), "/"), -1), r"\.[a-z]{2,5}$", "")
     return F.initcap(F.trim(F.regexp_replace(slug, r"[-_]+", " ")))
+
+
+#: Parts of paths that are no products, endings of files, and patterns of product paths.
+NO_PRODUCT_PARTS = (
+    "/cart", "/checkout", "/account", "/blogs/", "/blog/", "/pages/",
+    "/collections/", "/product-category/", "/cart/", "/wp-admin",
+    "/tag/", "/author/", "/search", "/wishlist", "/compare",
+)
+FILE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".pdf", ".css", ".js")
+PRODUCT_PATHS = (r"/products?/[^/]+", r"/product/", r"/shop/[^/]+", r"/item/[^/]+", r"/p/[^/]+", r"/goods/[^/]+", r"/catalog/product", r"/dp/[a-z0-9]+", r"/p-[^/]+", r"/\d{4,}/?$")
+
+
+def is_no_product(url: Column) -> Column:
+    """Whether a URL is a list, a cart, a file or a front page; a product below a list is none of these."""
+    p = F.lower(path(url))
+    listed = F.lit(False)
+    for part in NO_PRODUCT_PARTS:
+        listed = listed | p.contains(part)
+    ends = F.lit(False)
+    for ending in FILE_ENDINGS:
+        ends = ends | p.endswith(ending)
+    return F.when(p.isin("", "/"), True).when(listed, ~p.contains("/products/")).otherwise(ends)
+
+
+def is_product(url: Column) -> Column:
+    """Whether a URL has the form of a product page."""
+    p = F.lower(path(url))
+    return (~is_no_product(url) | p.contains("/products/")) & F.regexp_like(p, F.lit("|".join(f"(?:{x})" for x in PRODUCT_PATHS)))
