@@ -1,6 +1,5 @@
 """What the operators share: intermediate tables in the shared folder, and null-safe columns."""
 
-import gc
 import re
 import tempfile
 import uuid
@@ -48,19 +47,25 @@ def folder(spark: SparkSession, tag: str) -> Iterator[str]:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of ours, and let the driver's JVM notice which shuffles nothing refers to any more: their files go then."""
+    """Delete folders of ours."""
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
+
+
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation before it."""
+    """df written to the shared folder and read again: its lineage ends there, lost executors cost no recomputation before it, and its shuffle files go."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

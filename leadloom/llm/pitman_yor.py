@@ -43,7 +43,7 @@ SEED = 10
 SEGMENT_TOKENS, BUCKET_PAIRS = 2_000_000, 1_500_000
 #: Customers up to which Stirling numbers are summed up by their recursion; beyond, the same numbers are had from an integral over CONTOUR
 #: points, or its saddle point where that lies FAR out (the tests hold the draws of both against each other). Places at which a dish of more is looked at.
-EXACT, CONTOUR, FAR, GRID = 256, 12, 20.0, 48
+EXACT, CONTOUR, FAR, GRID = 1024, 12, 20.0, 48
 
 #: A to Z become lower case; all white space becomes a blank.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256)], np.uint8)
