@@ -112,13 +112,23 @@ def phrase_starts(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], cou
     return found
 
 
-def near_spans(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], counts: dict[bytes, int], slop: int) -> list[tuple[int, int, int]]:
-    """Spans of len(phrase) + slop words that hold every distinct term, with the place of the rarest term by which each was found."""
+def near_spans(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], counts: dict[bytes, int], slop: int, known: dict) -> list[tuple[int, int, int]]:
+    """Spans of len(phrase) + slop words that hold every distinct term, with the place of the rarest term by which each was found.
+
+    known: for each rarest term of a segment the last next rarest one and the places near it, which overlapping phrases share.
+    """
     terms = sorted(set(phrase), key=lambda w: (counts[w], w))
     width, places = len(phrase) + slop, lists[terms[0]]
-    for w in terms[1:]:
+    for k in range(1, len(terms)):
         # places with the term near enough, before any span is looked at
-        places = places[np.searchsorted(lists[w], places + width) > np.searchsorted(lists[w], places - width, "right")]
+        w, held = lists[terms[k]], known.get((width, terms[0])) if k == 1 else None
+        if held and held[0] == terms[1]:
+            near = held[1]
+        else:
+            near = places[np.searchsorted(w, places + width) > np.searchsorted(w, places - width, "right")]
+            if k == 1:
+                known[width, terms[0]] = terms[1], near
+        places = near
         if not len(places):
             return []
     found = []
@@ -150,10 +160,10 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
     # a row for each word of the block of test items at most
     counts = {bytes(r.term): r.n for r in index.select("terms", "postings").mapInArrow(sizes, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     phrases = [(p, sorted(of[p])) for p in sorted(of) if all(w in counts for w in p)]
-    known = spark.sparkContext.broadcast((phrases, counts))
+    asked_for = spark.sparkContext.broadcast((phrases, counts))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, counts = known.value
+        phrases, counts = asked_for.value
         from_rarest: dict[bytes, list[tuple]] = {}
         for phrase, ids in phrases:
             from_rarest.setdefault(min(phrase, key=lambda w: (counts[w], w)), []).append((phrase, ids))
@@ -163,6 +173,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
                 n = np.array(seg["n_words"], np.int64)
                 begins = np.cumsum(n + GAP) - n - GAP
                 found: tuple[dict, dict] = {}, {}
+                known: dict[tuple, np.ndarray] = {}
 
                 def book(kind: int, start: int, end: int, place: int, ids: list[str]) -> None:
                     """A span belongs to the document of the place, and is cut to it."""
@@ -177,7 +188,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
                             continue
                         for start in phrase_starts(phrase, lists, counts).tolist():
                             book(0, start, start + len(phrase), start, ids)
-                        for start, end, place in near_spans(phrase, lists, counts, slop) if slop else ():
+                        for start, end, place in near_spans(phrase, lists, counts, slop, known) if slop else ():
                             book(1, start, end, place, ids)
                 rows = []
                 for d in sorted(found[0].keys() | found[1].keys()):
