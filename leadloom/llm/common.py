@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Bytes of texts that a worker turns into Python objects at a time.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a column's values reach SLICE_BYTES, so that a worker holds few of them as Python objects."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)) + 1
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front where df has a column of that name already."""
     taken = {c.lower() for c in df.columns}

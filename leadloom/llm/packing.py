@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, text_or_empty, written
+from leadloom.llm.common import discard, slices, text_or_empty, written
 from leadloom.llm.word_ids import word_ids
 
 LENGTH = 4096
@@ -78,7 +78,7 @@ def along_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             keys = curve_keys([np.frombuffer(x, encoder.dtype) for x in ids], vocabulary)
             yield pa.record_batch([batch.column("doc_id"), pa.array(keys), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "doc_tokens", "ids"])
@@ -114,7 +114,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, total = known.value
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             out: list[list] = [[] for _ in range(8)]
             for part, run, doc_id, n, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "run", "doc_id", "doc_tokens", "ids"))):
                 raw, at = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes(), starts[part] + run

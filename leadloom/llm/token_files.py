@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import discard, new_path, text_or_empty, written
+from leadloom.llm.common import discard, new_path, slices, text_or_empty, written
 from leadloom.llm.word_ids import word_ids
 
 #: Longest code in bits; ids from one checkpoint to the next; ids after which a block is closed.
@@ -117,7 +117,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq, run = word_ids(tokenizer), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             n = np.array([len(x) // encoder.width for x in ids], np.int64)
             k = len(n)
@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
         block_schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("bits", pa.binary()), ("checkpoints", pa.binary())])
         n = 0
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             for row in batch.to_pylist():
                 if held and (row["part"] != held[0]["part"] or row["seq"] != held[-1]["seq"] + 1):
                     yield closed()

@@ -7,6 +7,7 @@ between blanks, one after the other. Each worker keeps the ids of pieces it has
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -14,6 +15,8 @@ import numpy as np
 PUNCTUATION = ".,;:!?$%&*#)(|\"-"
 #: Pieces that a worker keeps, and characters up to which it keeps them, so that texts without blanks do not fill the memory.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Characters of the texts whose new pieces are looked up together.
+GROUP_CHARS = 1 << 18
 
 
 def letters(stem: str) -> bool:
@@ -35,17 +38,15 @@ class WordIds:
         self.dtype = np.dtype(f"<u{self.width}")
         self.entries = entries
         self.splits = splits_at_blanks(json.loads(self.tokenizer.to_str()))
-        self.pieces: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        """Give all the pieces entries. A word and the punctuation after it are apart for the tokenizer, so they are looked up apart."""
-        if len(self.pieces) > self.entries:
-            self.pieces.clear()
-        pieces = {p for p in pieces if p not in self.pieces}
+        """Give new pieces entries. A word and the punctuation after it are apart for the tokenizer, so they are looked up apart."""
         if len(self.stems) > self.entries:
             self.stems.clear()
         parts = {}
@@ -55,33 +56,46 @@ class WordIds:
                 parts[piece] = (piece.lower() if piece.isascii() and piece.isalpha() else piece,)
             else:
                 parts[piece] = (stem.lower() if stem.isascii() else stem, piece[len(stem):])
-        stems, model = self.stems, self.tokenizer.model
-        new = {p for both in parts.values() for p in both if p not in stems}
+        stems, tokenize, id_bytes = self.stems, self.tokenizer.model.tokenize, self.id_bytes
+        new = set().union(*parts.values()).difference(stems)
         plain = [p for p in new if p.isascii() and p.isalpha()]  # already what the model is given: one lower-case word
-        stems.update((p, np.array([t.id for t in model.tokenize(p)], self.dtype).tobytes()) for p in plain)
+        stems.update((p, b"".join([id_bytes[t.id] for t in tokenize(p)])) for p in plain)
         rest = list(new.difference(plain))
         stems.update(zip(rest, self.fresh(rest)))
-        self.pieces.update((piece, b"".join([stems[p] for p in both])) for piece, both in parts.items())
-        self.pieces[""] = b""
+        self.pieces.update((piece, stems[both[0]] if len(both) == 1 else stems[both[0]] + stems[both[1]]) for piece, both in parts.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text has no ids."""
         if not self.splits:
             return self.fresh([t or "" for t in texts])
         found = []
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            if max(map(len, words)) > CACHE_CHARS:
-                found.append(b"".join([self.fresh([w])[0] if len(w) > CACHE_CHARS else self.encode([w])[0] for w in words]))
-                continue
-            try:
-                found.append(b"".join(map(self.pieces.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                found.append(b"".join(map(self.pieces.__getitem__, words)))
+        for group in groups([t or "" for t in texts]):
+            words = [t.replace("\n", " ").split(" ") for t in group]
+            if len(self.pieces) > self.entries:
+                self.pieces = {"": b""}
+            new = set().union(*words).difference(self.pieces)
+            long = [w for w in new if len(w) > CACHE_CHARS]
+            self.learn(new.difference(long))
+            self.pieces.update((w, self.fresh([w])[0]) for w in long)
+            found.extend([b"".join(map(self.pieces.__getitem__, w)) for w in words])
+            for w in long:
+                del self.pieces[w]
         return found
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in stretches that end once they hold GROUP_CHARS characters."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if chars >= GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 def splits_at_blanks(spec: dict) -> bool:
     """Whether the tokenizer's description shows that blanks separate and vanish, and that no special token holds or takes one."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
