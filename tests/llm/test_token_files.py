@@ -1,11 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from leadloom.llm import common
 from leadloom.llm import token_files as T
+from leadloom.llm import word_ids as word_ids_module
 from leadloom.llm.common import new_path
 from leadloom.llm.word_ids import WordIds
 
@@ -88,3 +91,21 @@ def test_query_matches_the_library(spark, sf):
         want[d.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in T.op8_token_files(spark, sf).collect()} == want
+
+
+def test_slices_keep_every_row_in_order(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    texts = ["", None, "a" * 25, "bb", "ccc", None, "d" * 9, "e", "", "f" * 10]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts)))], ["text", "n"])
+    cut = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 4)]), "text"))
+    assert [n for b in cut for n in b.column("n").to_pylist()] == [*range(10), 3, 4, 5, 6]
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()[:-1]) < 10 for b in cut)
+
+
+def test_groups_and_long_pieces_give_the_library_s_ids(monkeypatch):
+    monkeypatch.setattr(word_ids_module, "GROUP_CHARS", 40)
+    coder = WordIds(PATH, entries=5)
+    texts = ["İ, ok", "a" * 300 + " " + "b!" * 90, None, "", "x\n\ny", " ", "word, Word. WORD", "a" * 300, "word"]
+    for _ in range(2):
+        assert coder.encode(texts) == coder.fresh([t or "" for t in texts])
+    assert max(map(len, coder.pieces)) <= word_ids_module.CACHE_CHARS
