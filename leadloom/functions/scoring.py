@@ -31,10 +31,14 @@ def fit_score(icp: Column, offer: Column, motion: Column, geo: Column, role: Col
     jitter = (sum_ % 71) / F.lit(10.0)
     raw = raw + F.when(sum_ % 2 == 1, jitter * 0.65).otherwise(-jitter * 0.4)
     weak = ("unknown", "low")
-    raw = F.when(~homepage, F.least(raw, 51.0 + jitter * 0.15)).otherwise(raw)
-    raw = F.when(icp.isin(*weak) & motion.isin(*weak), F.least(raw, 38.0 + jitter * 0.2)).otherwise(raw)
-    raw = F.when((offer == "low") & homepage, F.least(raw, 70.0 + jitter * 0.25)).otherwise(raw)
-    raw = F.when((icp == "low") | (motion == "low"), F.least(raw, 34.0 + jitter * 0.15)).otherwise(raw)
+    # least() passes over nulls, so a cap that does not apply leaves the score, and each cap names the score once
+    raw = F.least(
+        raw,
+        F.when(~homepage, 51.0 + jitter * 0.15),
+        F.when(icp.isin(*weak) & motion.isin(*weak), 38.0 + jitter * 0.2),
+        F.when((offer == "low") & homepage, 70.0 + jitter * 0.25),
+        F.when((icp == "low") | (motion == "low"), 34.0 + jitter * 0.15),
+    )
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(99.0), raw))).cast("long")
 
 
