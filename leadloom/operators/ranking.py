@@ -15,12 +15,15 @@ def round_robin(df: DataFrame, bucket: str, order: Column, cap: int) -> DataFram
 
 
 def family_caps(df: DataFrame, family: str, caps: dict[str, int], other: int, order: Column, total: int) -> DataFrame:
-    """At most its cap of each family, then at most `total` rows, both in order."""
+    """At most its cap of each family, then at most `total` rows, both in order.
+
+    The largest cap is a literal, so Spark cuts every family before the shuffle; no family is sorted whole.
+    """
     cap = F.lit(other)
     for name, n in caps.items():
         cap = F.when(F.col(family) == name, n).otherwise(cap)
     rank = F.row_number().over(Window.partitionBy(family).orderBy(order))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") <= cap).drop("__rank").orderBy(order).limit(total)
+    return df.withColumn("__rank", rank).filter((F.col("__rank") <= max([other, *caps.values()])) & (F.col("__rank") <= cap)).drop("__rank").orderBy(order).limit(total)
 
 
 def within_budget(df: DataFrame, keys: list[str], cost: str, budget: float, order: Column) -> DataFrame:
