@@ -1,6 +1,6 @@
 """Queries over crawled pages: hosts, sites, kinds, links and repeated listings."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import contact, html, text, url
@@ -50,9 +50,10 @@ def on_topic(spark, sf_dir):
     """Listings (pages of one host) in which at least three tenths name a topic stem; off-topic listings go as a whole."""
     title = F.lower(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))
     pages = read(spark, sf_dir, "pages").select("page_id", url.host(F.col("url")).alias("host"), F.regexp_like(title, F.lit("the|and|der|des")).alias("hit"))
-    share = Window.partitionBy("host")
-    kept = F.sum(F.col("hit").cast("int")).over(share) >= F.greatest(F.lit(1), F.floor(F.count("*").over(share) * 3 / F.lit(10)))
-    return pages.withColumn("kept", kept).filter("hit and kept").select("page_id", "host")
+    # counts by host, combined before their shuffle, joined back to the hits: no task holds a whole host
+    listing = pages.groupBy(F.col("host").alias("listing")).agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.count("*").alias("pages"))
+    listing = listing.filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("pages") * 3 / F.lit(10))))
+    return pages.filter("hit").join(listing, F.col("host").eqNullSafe(F.col("listing")), "left_semi").select("page_id", "host")
 
 
 def page_fingerprints(spark, sf_dir):
