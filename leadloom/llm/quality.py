@@ -26,7 +26,7 @@ FOLDS, ACCEPT = 5, 0.3
 #: Random features, kernel width in units of sqrt(statistics), ridge penalty a row, and calibration bins.
 FEATURES, WIDTH, PENALTY, BINS = 256, 1.5, 1e-3, 512
 SEED = 2
-#: Sums of normal equations that come to the driver, each a matrix of FEATURES + 1 squared; tasks add up theirs to these first.
+#: Sums of normal equations, each a matrix of FEATURES + 1 squared, to which tasks add up theirs before one task adds up these.
 SUMS = 32
 
 _bytes = np.arange(256)
@@ -132,18 +132,20 @@ def trained(rows: DataFrame, labels: DataFrame) -> Model | None:
             total, right = total + z.T @ z, right + z.T @ batch.column("label").to_numpy()
         yield pa.record_batch([pa.array([TaskContext.get().partitionId() % SUMS], pa.int64()), pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["part", "total", "right"])
 
-    def added(found: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
-        total, right = np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1)
+    def added(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, right, some = np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1), False
         for batch in found:
             for a, b in zip(batch.column("total").to_pylist(), batch.column("right").to_pylist()):
-                total, right = total + np.frombuffer(a), right + np.frombuffer(b)
-        return pa.record_batch([pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["total", "right"])
+                total, right, some = total + np.frombuffer(a), right + np.frombuffer(b), True
+        if some:
+            yield pa.record_batch([pa.array([total.tobytes()]), pa.array([right.tobytes()])], ["total", "right"])
 
     each = known.filter(F.col("fold") != FOLDS - 1).select("label", "stats").mapInArrow(equations, "part long, total binary, right binary")
-    # tasks' sums are added up by remainder, batch by batch, so that no number of tasks fills one place
-    parts = each.repartition(SUMS, "part").select("total", "right").mapInArrow(lambda batches: iter([added(batches)]), "total binary, right binary").collect()
-    total = sum((np.frombuffer(r.total) for r in parts), np.zeros((FEATURES + 1) ** 2)).reshape(FEATURES + 1, FEATURES + 1)
-    right = sum((np.frombuffer(r.right) for r in parts), np.zeros(FEATURES + 1))
+    # tasks' sums are added up by remainder, then those SUMS ones; the driver gets one, however many tasks there are
+    parts = each.repartition(SUMS, "part").select("total", "right").mapInArrow(added, "total binary, right binary")
+    sums = parts.repartition(1).mapInArrow(added, "total binary, right binary").first()
+    total = (np.frombuffer(sums.total) if sums else np.zeros((FEATURES + 1) ** 2)).reshape(FEATURES + 1, FEATURES + 1)
+    right = np.frombuffer(sums.right) if sums else np.zeros(FEATURES + 1)
     n = max(1.0, total[-1, -1])
     model.weights = np.linalg.solve(total + PENALTY * n * np.diag([1.0] * FEATURES + [1e-9]) / FEATURES + 1e-9 * np.eye(FEATURES + 1), right)
 
