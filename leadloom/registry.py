@@ -1,10 +1,10 @@
 """Named queries over the driver's tables, and the SQL that each is held against."""
 
-from leadloom.plans import documents, funnel, leads, pages, places, selection, threads, usage
+from leadloom.plans import bulk, documents, funnel, leads, pages, places, selection, threads, usage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (funnel, pages, documents, leads, usage, threads, selection, places):
+for module in (funnel, pages, documents, leads, usage, threads, selection, places, bulk):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
