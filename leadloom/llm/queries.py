@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL that they are held against."""
 
-from leadloom.llm import chat, decontamination, exact_dedup, licenses, near_dedup, packing, pitman_yor, quality, token_counts, token_files
+from leadloom.llm import chat, decontamination, exact_dedup, licenses, merkle, near_dedup, packing, pitman_yor, quality, token_counts, token_files
 
 QUERIES = {
     "op10_lm_scores": pitman_yor.op10_lm_scores,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality": quality.op2_quality,
     "op3_license_scan": licenses.op3_license_scan,
@@ -15,5 +16,6 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": merkle.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
