@@ -114,3 +114,15 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
 def remainder(modulus: int) -> Column:
     """crc32 of doc_id's decimal text, modulo: the folds of the contracts. A null doc_id has crc32 of the empty text, 0."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: A common table expression of one row and column, `polynomial`: crc32's values of single bytes, for crc32_sql.
+CRC32_SQL = (
+    "crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS polynomial "
+    "FROM (SELECT unnest(range(256))::bigint AS n))"
+)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an expression's text of code points below 256 that are bytes each. `polynomial` must be in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, polynomial[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.llm.common import discard, remainder, written
+from leadloom.llm.common import CRC32_SQL, crc32_sql, discard, remainder, written
 
 #: Nodes of a run, as a power of two.
 SHIFT = 4
@@ -244,11 +244,10 @@ def oracle() -> str:
     """The query in DuckDB SQL, with crc32 from its polynomial and a common table for each level."""
     value = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
     leaf_of = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
-    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, polynomial[(xor(c, b) & 255) + 1])), 4294967295)"
-    step = "list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    id_text = "coalesce(doc_id::varchar, '')"
     parts = [
-        f"crc AS (SELECT list({step} ORDER BY n) AS polynomial FROM (SELECT unnest(range(256))::bigint AS n))",
-        f"d AS (SELECT doc_id, source, {leaf_of('text')} AS leaf, CASE WHEN {crc} % {TAMPERED} = 0 THEN {leaf_of(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents, crc)",
+        CRC32_SQL,
+        f"d AS (SELECT doc_id, source, {leaf_of('text')} AS leaf, CASE WHEN {crc32_sql(id_text)} % {TAMPERED} = 0 THEN {leaf_of(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents, crc)",
         "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d)",
     ]
 
