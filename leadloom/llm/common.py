@@ -124,5 +124,6 @@ CRC32_SQL = (
 
 
 def crc32_sql(text: str) -> str:
-    """DuckDB SQL for the unsigned crc32 of an expression's text of code points below 256 that are bytes each. `polynomial` must be in scope."""
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)), lambda c, b: xor(c >> 8, polynomial[(xor(c, b) & 255) + 1])), 4294967295)"
+    """DuckDB SQL for the unsigned crc32 of an expression's UTF-8 bytes, of code points up to U+07FF. `polynomial` must be in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::bigint] ELSE [192 + (ord(x) >> 6)::bigint, 128 + (ord(x) & 63)::bigint] END)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, flatten({codes})), lambda c, b: xor(c >> 8, polynomial[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -1,9 +1,10 @@
 """The queries of this subpackage by name, and the SQL that they are held against."""
 
-from leadloom.llm import chat, decontamination, exact_dedup, language, licenses, merkle, near_dedup, packing, pitman_yor, quality, token_counts, token_files
+from leadloom.llm import chat, decontamination, exact_dedup, language, licenses, merkle, near_dedup, packing, pitman_yor, quality, spelling, token_counts, token_files
 
 QUERIES = {
     "op10_lm_scores": pitman_yor.op10_lm_scores,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_language_id": language.op12_language_id,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_language_id": language.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
