@@ -256,20 +256,6 @@ def fit_scores(spark, sf_dir):
     return c.select("c_custkey", icp.alias("icp"), scoring.lowest_level(icp, offer, motion).alias("lowest"), scoring.fit_score(icp, offer, motion, geo, role, F.col("priority"), home, seed).alias("score"))
 
 
-def location_verdict(spark, sf_dir):
-    """Customers of a hunt for Asia: MATCH by region, WRONG where the nation lies elsewhere, UNCERTAIN without a positive balance."""
-    c = companies(spark, sf_dir)
-    verdict = F.when(F.col("c_acctbal") <= 0, "UNCERTAIN").when(F.col("r_name") == "ASIA", "MATCH").otherwise("WRONG")
-    return c.groupBy(verdict.alias("verdict"), "r_name").agg(F.count("*").alias("companies"))
-
-
-def places_mentioned(spark, sf_dir):
-    """Whether a customer's place is among the asked ones: null where nothing is asked of the segment."""
-    asked = spark.createDataFrame([("BUILDING", "ASIA"), ("BUILDING", "EUROPE"), ("MACHINERY", "AFRICA")], "c_mktsegment string, place string").groupBy("c_mktsegment").agg(F.collect_set("place").alias("places"))
-    c = companies(spark, sf_dir).join(F.broadcast(asked), "c_mktsegment", "left")
-    return c.groupBy("c_mktsegment", F.array_contains("places", F.col("r_name")).alias("mentioned")).agg(F.count("*").alias("companies"))
-
-
 def recursive_frontier(spark, sf_dir):
     """Places reachable from a region through a bounded number of steps down an edge table."""
     region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
@@ -290,7 +276,7 @@ QUERIES = {
     "q_pipeline_outcomes": pipeline_outcomes, "q_followup_due": follow_up_due, "q_replace_all_last_wins": replace_all, "q_merge_non_regressing": merge_non_regressing,
     "q_route_manual": route_manual, "q_export_projection": export_projection, "q_union_sources": union_sources, "q_set_difference": set_difference, "q_set_intersection": set_intersection,
     "q_full_outer_keys": outer_keys, "q_backfill_fill_if_empty": backfill, "q_stage_repair": stage_repair, "q_catalog_priority_merge": catalog_cascade, "q_fit_score": fit_scores,
-    "q_location_verdict": location_verdict, "q_places_mentioned_tristate": places_mentioned, "q_recursive_frontier": recursive_frontier,
+    "q_recursive_frontier": recursive_frontier,
 }
 
 _STAGE = "CASE o_orderstatus " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGES.items()) + " END"
@@ -355,8 +341,6 @@ d AS (SELECT *, CASE WHEN icp IN ('unknown', 'low') AND motion IN ('unknown', 'l
 e AS (SELECT *, CASE WHEN offer = 'low' AND home THEN least(d, 70.0::DOUBLE + j * 0.25::DOUBLE) ELSE d END AS e FROM d),
 f AS (SELECT *, CASE WHEN icp = 'low' OR motion = 'low' THEN least(e, 34.0::DOUBLE + j * 0.15::DOUBLE) ELSE e END AS f FROM e)
 SELECT c_custkey, icp, CASE WHEN 'low' IN (icp, offer, motion) THEN 'low' WHEN 'unknown' IN (icp, offer, motion) THEN 'unknown' WHEN 'medium' IN (icp, offer, motion) THEN 'medium' ELSE 'high' END AS lowest, CAST(round_even(greatest(0, least(99, f)), 0) AS BIGINT) AS score FROM f""",
-    "q_location_verdict": f"SELECT CASE WHEN c_acctbal <= 0 THEN 'UNCERTAIN' WHEN r_name = 'ASIA' THEN 'MATCH' ELSE 'WRONG' END AS verdict, r_name, count(*) AS companies FROM {_COMPANIES} GROUP BY 1, 2",
-    "q_places_mentioned_tristate": f"SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN r_name IN ('ASIA', 'EUROPE') WHEN 'MACHINERY' THEN r_name = 'AFRICA' END AS mentioned, count(*) AS companies FROM {_COMPANIES} GROUP BY 1, 2",
     "q_recursive_frontier": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
 f AS (SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region WHERE r_name = 'ASIA' UNION SELECT dst, depth + 1 FROM f JOIN e ON node = src WHERE depth < 2) SELECT node, min(depth) AS depth FROM f GROUP BY node""",
 }
