@@ -27,7 +27,11 @@ def fit_score(icp: Column, offer: Column, motion: Column, geo: Column, role: Col
     """0 to 99, rounded half to even: level points plus extras, a steady spread by seed, then caps for thin evidence."""
     raw = points(icp, ICP_POINTS) + points(offer, OFFER_POINTS) + points(motion, MOTION_POINTS) + geo + role
     raw = raw + F.when(homepage, 4.0).otherwise(0.0) + F.least(F.lit(5.0), evidence * 1.4)
-    sum_ = checksum(seed)
+    return capped(raw, icp, offer, motion, homepage, checksum(seed))
+
+
+def capped(raw: Column, icp: Column, offer: Column, motion: Column, homepage: Column, sum_: Column) -> Column:
+    """A raw score spread by a checksum, capped for thin evidence, from 0 to 99, rounded half to even."""
     jitter = (sum_ % 71) / F.lit(10.0)
     raw = raw + F.when(sum_ % 2 == 1, jitter * 0.65).otherwise(-jitter * 0.4)
     weak = ("unknown", "low")
