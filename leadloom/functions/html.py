@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from leadloom.functions import contact, url
 from leadloom.functions.text import clean
 
-#: Characters of a page that are looked at.
-MOST = 180_000
 HIDDEN = r"(?is)<(script|style|noscript|svg|nav|form)\b.*?</\1\s*>|<!--.*?-->"
 BLOCK_END = r"(?i)</?(p|div|section|article|header|footer|main|aside|li|ul|ol|tr|table|h[1-6]|br|blockquote|title)\b[^>]*>"
 CHROME = r"(?is)<!--.*?-->|<(nav|footer|header)\b.*?</\1\s*>|<(\w+)\b[^>]*?\brole\s*=\s*[\"']?navigation\b.*?</\2\s*>"
@@ -25,9 +23,15 @@ def decoded(text: Column) -> Column:
     return F.regexp_replace(text, "[​‌‍﻿]", "")
 
 
-def text_of(html: Column) -> Column:
+def front(html: Column, most: int | None) -> Column:
+    """A page, or its first `most` characters if a caller wants no more."""
+    whole = F.coalesce(html, F.lit(""))
+    return whole if most is None else F.substring(whole, 1, most)
+
+
+def text_of(html: Column, most: int | None = None) -> Column:
     """Visible text, a line for each block, without hidden parts, navigation and forms."""
-    bare = F.regexp_replace(F.regexp_replace(F.substring(F.coalesce(html, F.lit("")), 1, MOST), HIDDEN, " "), BLOCK_END, "\n")
+    bare = F.regexp_replace(F.regexp_replace(front(html, most), HIDDEN, " "), BLOCK_END, "\n")
     lines = F.transform(F.split(decoded(F.regexp_replace(bare, r"<[^>]*>", "")), "\n"), clean)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -48,10 +52,10 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1)), decoded))
 
 
-def company_links(html: Column, page_url: Column, skip_hosts: tuple[str, ...], cap: int = 20) -> Column:
+def company_links(html: Column, page_url: Column, skip_hosts: tuple[str, ...], cap: int = 20, most: int | None = None) -> Column:
     """Links (place, host, url) of a directory page to companies: outside navigation, header and footer, to other hosts that are not skipped ones, without chrome labels and articles; the first of each host, up to cap."""
     bare = lambda h: F.regexp_replace(h, r"^www\.", "")
-    body = F.regexp_replace(F.substring(F.coalesce(html, F.lit("")), 1, MOST), CHROME, " ")
+    body = F.regexp_replace(front(html, most), CHROME, " ")
     own = bare(url.host(page_url))
     href = lambda a: F.trim(decoded(F.regexp_replace(F.regexp_extract(a, r"""(?is)^<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1), "^[\"']|[\"']$", "")))
     label = lambda a: clean(decoded(F.regexp_replace(a, r"<[^>]*>", " ")))

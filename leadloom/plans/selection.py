@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leadloom.functions import text, url
-from leadloom.operators import dedup, ordering, state
+from leadloom.operators import dedup, ordering, ranges, state
 from leadloom.sources.tables import read
 
 NOW = "2024-01-20 00:00:00"
@@ -145,10 +145,10 @@ def inbox_filters(spark, sf_dir):
 
 
 def workspace_access(spark, sf_dir):
-    """Workspaces (suppliers) of customers 0 to 199: as owner, or as active member by id or e-mail. Equi-joins, one for each way."""
-    users = read(spark, sf_dir, "customer").filter("c_custkey < 200").select("c_custkey", F.lower(F.concat("c_name", F.lit("@x.example"))).alias("email"))
+    """Workspaces (suppliers) of customers: as owner, or as active member by id or e-mail. Equi-joins, one for each way."""
+    users = read(spark, sf_dir, "customer").select("c_custkey", F.lower(F.concat("c_name", F.lit("@x.example"))).alias("email"))
     spaces = read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("owner"))
-    members = read(spark, sf_dir, "orders").filter("o_orderkey < 2000").select((F.col("o_orderkey") % 97).alias("s_suppkey"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("gone").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("user"), F.lower(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("@X.example"))).alias("member_email"))
+    members = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("s_suppkey"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("gone").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("user"), F.lower(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("@X.example"))).alias("member_email"))
     active = members.filter("status = 'active'").join(spaces, "s_suppkey", "left_semi")
     ways = users.join(spaces, F.col("c_custkey") == F.col("owner")).select("c_custkey", "s_suppkey")
     ways = ways.union(users.join(active, F.col("c_custkey") == F.col("user")).select("c_custkey", "s_suppkey")).union(users.join(active, F.trim("email") == F.trim("member_email")).select("c_custkey", "s_suppkey"))
@@ -156,9 +156,25 @@ def workspace_access(spark, sf_dir):
 
 
 def page_positions(spark, sf_dir):
-    """Place of each page among its host's, from 1 on, for the first ten."""
+    """Place of each page among its host's, from 1 on."""
     rows = read(spark, sf_dir, "pages").select("page_id", url.host(F.col("url")).alias("host"))
-    return ordering.newest(rows, ["host"], 10, F.col("page_id"))
+    return ranges.positions(rows, ["host"], ["page_id"], "place")
+
+
+#: Limits of a user's run, in the order in which they are looked at: name, measure, most, and whether it is summed.
+RUN_LIMITS = [("leads", "lead", 12, True), ("runtime", "seconds", 15 * 86_400, False), ("requests", "request", 70, True), ("pages", "page", 30, True), ("domains", "domain", 25, True), ("enrichments", "enriched", 18, True)]
+
+
+def run_limits(spark, sf_dir):
+    """The first of six limits that each user's run of events reaches, and at which event; null for none."""
+    rows = read(spark, sf_dir, "events")
+    start = rows.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("start"))
+    first = rows.groupBy("user_id", "props").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(1).cast("long").alias("domain"))
+    is_ = lambda *kinds: F.col("event_type").isin(*kinds).cast("long")
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))
+    each = rows.join(start, F.col("user_id") == F.col("__user")).join(first, "event_id", "left")
+    each = each.select("user_id", "event_id", seconds.alias("seconds"), is_("purchase").alias("lead"), F.lit(1).cast("long").alias("request"), is_("view", "click").alias("page"), "domain", is_("signup").alias("enriched"))
+    return ranges.first_limit(each, ["user_id"], ["event_id"], RUN_LIMITS)
 
 
 def applied_hits(spark, sf_dir):
@@ -223,7 +239,7 @@ QUERIES = {
     "q_final_lead_rank": final_lead_rank, "q_search_hit_rank": search_hit_rank, "q_inbox_order": inbox_order, "q_newest_notices": newest_notices, "q_primary_signal": primary_turns, "q_first_pending": first_pending,
     "q_match_list": match_list, "q_preferred_first": preferred_parts, "q_ragged_round_robin": ragged_lists, "q_lane_breaker": lane_breaker, "q_reopened_cursors": reopened_cursors, "q_cursor_keys": cursor_keys,
     "q_sent_notices": sent_notices, "q_bounded_logs": bounded_logs, "q_ticket_facets": ticket_facets, "q_user_search": user_search, "q_inbox_filters": inbox_filters, "q_workspace_access": workspace_access,
-    "q_page_positions": page_positions, "q_applied_hits": applied_hits, "q_off_topic_pages": off_topic_pages, "q_engine_counts": engine_counts, "q_product_urls": product_urls, "q_term_hits": term_hits,
+    "q_page_positions": page_positions, "q_run_limits": run_limits, "q_applied_hits": applied_hits, "q_off_topic_pages": off_topic_pages, "q_engine_counts": engine_counts, "q_product_urls": product_urls, "q_term_hits": term_hits,
     "q_state_codes": state_codes, "q_lenient_json": lenient_json,
 }
 
@@ -264,9 +280,16 @@ ORACLES = {
     "q_user_search": "WITH u AS (SELECT user_id, count(*) AS used FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT c_custkey, used FROM customer JOIN u ON c_custkey = user_id WHERE c_acctbal >= 0 AND (contains(lower(c_name), 'machin') OR contains(lower(coalesce(c_mktsegment, '')), 'machin'))",
     "q_inbox_filters": """SELECT count(*) FILTER (o_orderstatus = 'O') AS to_send, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 300000) AS best_fit, count(*) FILTER (o_orderstatus = 'O' AND o_custkey % 4 <> 0) AS with_email, count(*) FILTER (o_orderstatus = 'O' AND o_custkey % 4 = 0) AS no_email,
         count(*) FILTER (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01') AS follow_up, count(*) FILTER (o_orderstatus IN ('P', 'F')) AS sent FROM orders""",
-    "q_workspace_access": """WITH m AS (SELECT o_orderkey % 97 AS space, o_orderkey, o_custkey FROM orders WHERE o_orderkey < 2000 AND o_orderstatus = 'O') SELECT DISTINCT c_custkey, s_suppkey FROM customer, supplier WHERE c_custkey < 200 AND
-        (s_suppkey % 50 = c_custkey OR EXISTS (SELECT 1 FROM m WHERE space = s_suppkey AND ((o_orderkey % 2 = 0 AND o_custkey = c_custkey) OR lower(c_name) = 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0'))))""",
-    "q_page_positions": f"WITH p AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS place FROM p QUALIFY place <= 10",
+    "q_workspace_access": """WITH m AS (SELECT o_orderkey % 97 AS s_suppkey, o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 97 IN (SELECT s_suppkey FROM supplier))
+        SELECT c_custkey, s_suppkey FROM supplier JOIN customer ON s_suppkey % 50 = c_custkey UNION SELECT c_custkey, s_suppkey FROM m JOIN customer ON o_orderkey % 2 = 0 AND o_custkey = c_custkey
+        UNION SELECT c_custkey, s_suppkey FROM m JOIN customer ON lower(c_name) = 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')""",
+    "q_run_limits": f"""WITH e AS (SELECT user_id, event_id, (date_trunc('second', ts) - date_trunc('second', min(ts) OVER (PARTITION BY user_id))) AS passed, event_type, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) = 1 AS fresh FROM events),
+        s AS (SELECT user_id, event_id, epoch(passed) AS seconds, sum((event_type = 'purchase')::int) OVER w AS spent_leads, count(*) OVER w AS spent_requests, sum((event_type IN ('view', 'click'))::int) OVER w AS spent_pages, sum(fresh::int) OVER w AS spent_domains, sum((event_type = 'signup')::int) OVER w AS spent_enrichments
+            FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT *, CASE {" ".join(f"WHEN {'spent_' + n if summed else c} >= {most} THEN '{n}'" for n, c, most, summed in RUN_LIMITS)} END AS "limit" FROM s)
+        SELECT user_id, "limit", event_id, spent_leads::bigint AS spent_leads, spent_requests::bigint AS spent_requests, spent_pages::bigint AS spent_pages, spent_domains::bigint AS spent_domains, spent_enrichments::bigint AS spent_enrichments FROM h
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY "limit" IS NULL, CASE WHEN "limit" IS NULL THEN -event_id ELSE event_id END) = 1""",
+    "q_page_positions": f"WITH p AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS place FROM p",
     "q_applied_hits": "WITH h AS (SELECT o_custkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT coalesce(o_orderpriority, c_mktsegment) AS value, count(*) AS leads FROM customer LEFT JOIN h ON c_custkey = o_custkey GROUP BY 1",
     "q_off_topic_pages": f"""WITH p AS (SELECT {_HOST} AS host, page_id % 9 = 0 AS q, length(html) % 7 > 0 AS k FROM pages), n AS (SELECT host, count(*) AS total, count(*) FILTER (q) AS queued, count(*) FILTER (k) AS known FROM p GROUP BY 1)
         SELECT host, total, total >= 8 AND queued = 0 AND known = 0 AS off_topic, total >= 6 AND known / total >= 0.9 AS mostly_known FROM n""",

@@ -39,6 +39,12 @@ def test_emails(spark):
     assert values(spark, contact.cf_email, code, "zz", "0a") == ["info@brand.com", None, None]
     assert values(spark, contact.obfuscated_emails, "Reach sales [at] brand [dot] com now") == [["sales@brand.com"]]
     assert values(spark, contact.loose_emails, "sales @ brand . com") == [["sales@brand.com"]]
+    spelled = ["info(at)brand(dot)com", "info( at )brand.com or x@y.org", "jane.doe at brand dot co dot uk!", "Meet at noon. Look at brand dot", "a{AT}b<dot>org", None, "at dot com"]
+    assert values(spark, contact.obfuscated_emails, *spelled) == [["info@brand.com"], ["info@brand.com"], ["jane.doe@brand.co.uk"], [], ["a@b.org"], [], []]
+    loose = ["Mail sales@brand.com. Then wait", "a@b . org , c @d.org", "no @ sign", None, "x@example.com"]
+    assert values(spark, contact.loose_emails, *loose) == [["sales@brand.com"], ["a@b.org", "c@d.org"], [], [], []]
+    junk = ["a@sub.example.com", "a@notexample.com", "noreply-x@brand.com", "test@brand.com", "testy@brand.com", "logo@2x.png", "a@b.js", "u00a@brand.com", "x" * 65 + "@brand.com"]
+    assert values(spark, contact.clean_email, *junk) == [None, "a@notexample.com", None, None, "testy@brand.com", None, None, None, None]
     assert values(spark, contact.split_list, "a@b.co; A@b.co,\nc@d.org") == [["a@b.co", "c@d.org"]]
     assert values(spark, contact.clean_phone, "+1  212-555-0199", "123") == ["+1 212-555-0199", None]
     assert values(spark, contact.phone_country, "97150000000", "4930", "999") == ["AE", "DE", None]
