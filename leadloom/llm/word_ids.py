@@ -14,7 +14,7 @@ import numpy as np
 #: ASCII punctuation that may follow a word without being part of it; the apostrophe starts contractions and stays out.
 PUNCTUATION = ".,;:!?$%&*#)(|\"-"
 #: Pieces that a worker keeps, and characters up to which it keeps them, so that texts without blanks do not fill the memory.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 64
 #: Characters of the texts whose new pieces are looked up together.
 GROUP_CHARS = 1 << 18
 
