@@ -6,6 +6,7 @@ _SAID, _FACTS and _PROFILE are plain SQL, the same for Spark and for the SQL bes
 from pyspark.sql import functions as F
 
 from leadloom.functions import scoring
+from leadloom.operators import overlap, ranges
 from leadloom.operators import qualifying as Q
 from leadloom.plans.leads import companies
 from leadloom.sources.tables import read
@@ -72,7 +73,16 @@ def account_scores(spark, sf_dir):
     return Q.qualified(accounts(spark, sf_dir), "c_custkey").select("c_custkey", "score.*")
 
 
-QUERIES = {"q_account_levels": account_levels, "q_account_scores": account_scores}
+def catalog_matches(spark, sf_dir):
+    """The four best parts of a supplier's catalog for each account by its site."""
+    each = accounts(spark, sf_dir).select("c_custkey", "s_suppkey", F.col("site").alias("text"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    parts = lines.join(read(spark, sf_dir, "part"), "p_partkey").select("s_suppkey", "p_partkey", overlap.long_words(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
+    products = ranges.positions(parts, ["s_suppkey"], ["p_partkey"], "place")
+    return overlap.catalog_matches(each, "c_custkey", products, "s_suppkey", "place")
+
+
+QUERIES = {"q_account_levels": account_levels, "q_account_scores": account_scores, "q_catalog_matches": catalog_matches}
 
 _text = lambda s: "'" + s.replace("'", "''") + "'"
 _has = lambda column, pattern: f"regexp_matches({column}, {_text('(?i)' + pattern)})"
@@ -131,4 +141,9 @@ j AS (SELECT *, (k % 71) / 10.0::DOUBLE AS j FROM k),
 r AS (SELECT *, p1 + p2 + p3 + p4 + p5 + p6 + CASE WHEN k % 2 = 1 THEN j * 0.65::DOUBLE ELSE -j * 0.4::DOUBLE END AS r FROM j),
 s AS (SELECT *, list_min([r, CASE WHEN NOT home THEN 51 + j * 0.15::DOUBLE END, CASE WHEN icp IN ('unknown', 'low') AND m IN ('unknown', 'low') THEN 38 + j * 0.2::DOUBLE END, CASE WHEN offer = 'low' AND home THEN 70 + j * 0.25::DOUBLE END, CASE WHEN 'low' IN (icp, m) THEN 34 + j * 0.15::DOUBLE END]) AS s FROM r)
 SELECT c_custkey, round_even(greatest(0, least(99, s)), 0)::BIGINT AS total, least(25, round_even(p1 * (25 / 30.0::DOUBLE), 0)::INT) AS industry, least(20, round_even(p4 * (20 / 12.5::DOUBLE), 0)::INT) AS location, least(20, round_even(p2 * (20 / 27.0::DOUBLE), 0)::INT) AS product, least(15, round_even((p3 + p6) * (15 / 32.0::DOUBLE), 0)::INT) AS company FROM s""",
+    "q_catalog_matches": rf"""{_QUALIFIED},
+p AS (SELECT l_suppkey AS s_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS place, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]{{4,}}')) AS words FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey),
+h AS (SELECT c_custkey, s_suppkey, place, len(list_intersect(words, regexp_extract_all(lower(coalesce(site, '')), '[a-z0-9]{{4,}}'))) AS hits, regexp_matches(coalesce(site, ''), '{overlap.DEMAND}') AS demand FROM a1 JOIN p USING (s_suppkey)),
+l AS (SELECT *, CASE WHEN hits >= 2 OR (hits >= 1 AND demand) THEN 0 WHEN hits >= 1 OR demand THEN 1 ELSE 2 END AS rank FROM h)
+SELECT c_custkey, s_suppkey, place, hits, ['High', 'Medium', 'Low'][rank + 1] AS level FROM l QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY rank, place) <= 4""",
 }

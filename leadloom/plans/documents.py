@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import contact, scoring, text
+from leadloom.operators import overlap
 from leadloom.sources.tables import read
 
 #: Harness dictionaries for the synthetic texts: what stands for trade words, product words, references and unrelated trades.
@@ -106,11 +107,11 @@ def license_strip(spark, sf_dir):
 
 
 def token_overlap(spark, sf_dir):
-    """Texts with at least three of a hunt line's distinct long words: an equi-join on words, counted."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), 7)).alias("w"))
-    lines = read(spark, sf_dir, "benchmark").select("item_id", F.explode(text.tokens(F.col("text"), 7)).alias("w"))
-    hits = docs.join(lines, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).filter("hits >= 3")
-    return hits.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("hits").alias("best"))
+    """Texts that share two long words with the first three of a conversation's first turn, counted by conversation."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", overlap.long_words(F.col("text")).alias("words"))
+    items = read(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.slice(overlap.long_words(F.col("text")), 1, 3).alias("words"))
+    hits = overlap.overlapping(docs, "doc_id", items, "conv_id")
+    return hits.groupBy("conv_id").agg(F.count("*").alias("docs"), F.max("hits").alias("best"), F.min("doc_id").alias("first_doc"))
 
 
 def text_fingerprint(spark, sf_dir):
@@ -171,7 +172,12 @@ ORACLES = {
     "q_contact_dedup": f"WITH e AS ({_EMAILS}), p AS ({_PHONES}), b AS (SELECT doc_id, 'email' AS type, email AS value FROM e UNION ALL SELECT doc_id, 'phone', phone FROM p) SELECT type, value, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM b GROUP BY ALL",
     "q_phone_country": f"WITH p AS ({_PHONES}) SELECT {_COUNTRY} AS country, count(*) AS numbers, count(DISTINCT doc_id) AS docs FROM p GROUP BY 1",
     "q_license_strip": r"SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '(Released under|Licensed under|This work is licensed under)[^\n]*', '', 'g')) AS chars_left FROM documents WHERE text LIKE '%icense%'",
-    "q_token_hits_overlap": f"WITH d AS (SELECT doc_id, unnest({_TOKENS.format(n=7)}) AS w FROM documents), l AS (SELECT item_id, unnest({_TOKENS.format(n=7)}) AS w FROM benchmark), h AS (SELECT doc_id, item_id, count(*) AS hits FROM d JOIN l USING (w) GROUP BY ALL HAVING count(*) >= 3) SELECT item_id, count(*) AS docs, max(hits) AS best FROM h GROUP BY item_id",
+    "q_token_hits_overlap": r"""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}'))) AS w FROM documents),
+        i AS (SELECT conv_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}') AS ws FROM conversations WHERE turn = 0),
+        f AS (SELECT conv_id, w, row_number() OVER (PARTITION BY conv_id ORDER BY spot) AS place FROM (SELECT conv_id, w, min(pos) AS spot FROM (SELECT conv_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM i) GROUP BY ALL)),
+        k AS (SELECT conv_id, w, count(*) OVER (PARTITION BY conv_id) AS n FROM f WHERE place <= 3),
+        h AS (SELECT doc_id, conv_id, count(*) AS hits FROM d JOIN k USING (w) GROUP BY doc_id, conv_id, n HAVING count(*) >= least(2, n))
+        SELECT conv_id, count(*) AS docs, max(hits) AS best, min(doc_id) AS first_doc FROM h GROUP BY conv_id""",
     "q_text_fingerprint": f"WITH f AS (SELECT doc_id, sha1(array_to_string(list_sort({_TOKENS.format(n=2)}), '|')) AS fingerprint FROM documents) SELECT fingerprint, count(*) AS docs, min(doc_id) AS first_doc FROM f GROUP BY fingerprint HAVING count(*) > 1",
     "q_counts_by_source": "SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source, lang)",
     "q_excerpt": r"WITH a AS (SELECT doc_id, text, instr(text, '@mail') AS place FROM documents WHERE text LIKE '%@mail%') SELECT doc_id, substr(trim(regexp_replace(substr(text, greatest(place - 40, 1), place - greatest(place - 40, 1) + 120), '[ \t\r\n\f\x0B]+', ' ', 'g')), 1, 200) AS excerpt FROM a",
