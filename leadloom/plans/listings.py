@@ -5,7 +5,7 @@ _CARD and _PAGE are plain SQL, the same for Spark and for the SQL beside each qu
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import markup
+from leadloom.operators import linked, markup
 from leadloom.sources.tables import read
 
 _CARD = """CASE l_partkey % 4
@@ -18,6 +18,12 @@ _PAGE = """'<!DOCTYPE html><body><nav><a href="/">Home</a></nav>' || cards || CA
     WHEN 1 THEN '<a href="?p=3&amp;q=1"> Next page </a>'
     WHEN 2 THEN '<form><input type="hidden" name="s" value="10"><input type="submit" value="Next"></form>'
     WHEN 3 THEN '<a href="?page=9">9</a>' ELSE '' END || '</body>'"""
+_ITEM = """CASE l_partkey % 4
+    WHEN 0 THEN '{"@type": "Product", "name": "' || p_name || '", "url": "/p/' || l_partkey || '", "offers": {"price": ' || p_size || '}, "image": ["a' || l_partkey || '.png"]}'
+    WHEN 1 THEN '{"@type": "ListItem", "item": {"@type": ["Thing", "product"], "name": " ' || p_name || '", "@id": "#' || l_partkey || '", "offers": [{"price": "' || p_size || '"}], "image": {"url": "b.png"}}}'
+    WHEN 2 THEN '{"@type": "Product", "name": "' || p_type || '"}'
+    ELSE '{"@type": "Person", "name": "' || p_name || '", "team": [{"lead": {"email": "mailto:P' || l_partkey || '@Shop.com"}}]}' END"""
+_LINKED = """'<script type="application/ld+json">{"@graph": [{"@type": "ItemList", "itemListElement": [' || cards || ']}, {"contact": {"email": "info@shop' || s_suppkey || '.com"}}]}</script><script type="application/ld+json">{"broken</script>'"""
 RESULTS = [("article", "hit"), ("div", "result"), ("li", None)]
 
 
@@ -29,6 +35,25 @@ def result_pages(spark, sf_dir):
     return joined.select("s_suppkey", F.expr(_PAGE).alias("html"))
 
 
+def linked_pages(spark, sf_dir):
+    """A page of linked data for each supplier: an entry for each part that it delivers."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    each = lines.select("l_suppkey", "l_partkey", F.expr(_ITEM).alias("card"))
+    joined = each.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "card"))), lambda x: x["card"]), ", ").alias("cards"))
+    return joined.select("s_suppkey", F.expr(_LINKED).alias("html"))
+
+
+def linked_products(spark, sf_dir):
+    """Products in each page's linked data."""
+    rows = linked.walked(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey")
+    return linked.products(rows, "s_suppkey").select("s_suppkey", "name", "link", "price", "image")
+
+
+def linked_emails(spark, sf_dir):
+    """Addresses in each page's linked data."""
+    return linked.emails(linked.walked(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey"), "s_suppkey")
+
+
 def result_hits(spark, sf_dir):
     """Hits of each result page in order."""
     return markup.listing(result_pages(spark, sf_dir), "s_suppkey", "html", RESULTS).select("s_suppkey", "place", "link", "title")
@@ -51,7 +76,7 @@ def page_elements(spark, sf_dir):
     return markup.elements(rows, "page_id").groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count(F.when(F.col("end") > F.col("at"), 1)).alias("n_holding"))
 
 
-QUERIES = {"q_result_hits": result_hits, "q_result_next": result_next, "q_page_cards": page_cards, "q_page_elements": page_elements}
+QUERIES = {"q_result_hits": result_hits, "q_result_next": result_next, "q_page_cards": page_cards, "q_page_elements": page_elements, "q_linked_products": linked_products, "q_linked_emails": linked_emails}
 
 _LINES = "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey"
 ORACLES = {
@@ -68,4 +93,8 @@ p AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY spot)::in
 SELECT * FROM p WHERE length(title) BETWEEN 3 AND 70 AND regexp_matches(title, '\p{{L}}') AND lower(title) NOT IN ({", ".join(f"'{x}'" for x in markup.NO_NAMES)})""",
     "q_page_elements": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(script|style)\b[^>]*>).*?</(script|style)\s*>', '\1', 'g'), '<([a-z][a-z0-9]*)', 1)) AS name FROM pages)
 SELECT page_id, name, count(*) AS n, count(*) FILTER (name NOT IN ('meta', 'br', 'img', 'script', 'style', 'link', 'input', 'hr')) AS n_holding FROM t GROUP BY ALL""",
+    "q_linked_products": f"""WITH c AS (SELECT l_suppkey AS s_suppkey, l_partkey, CASE l_partkey % 4 WHEN 2 THEN p_type ELSE p_name END AS name, CASE l_partkey % 4 WHEN 0 THEN '/p/' || l_partkey WHEN 1 THEN '#' || l_partkey ELSE '' END AS link,
+    CASE WHEN l_partkey % 4 < 2 THEN p_size::varchar ELSE '' END AS price, CASE l_partkey % 4 WHEN 0 THEN 'a' || l_partkey || '.png' WHEN 1 THEN 'b.png' ELSE '' END AS image FROM {_LINES} WHERE l_partkey % 4 < 3)
+SELECT s_suppkey, name, link, price, image FROM c QUALIFY row_number() OVER (PARTITION BY s_suppkey, CASE WHEN link = '' THEN lower(name) ELSE link END ORDER BY l_partkey) = 1""",
+    "q_linked_emails": f"SELECT DISTINCT l_suppkey AS s_suppkey, 'p' || l_partkey || '@shop.com' AS email FROM {_LINES} WHERE l_partkey % 4 = 3 UNION SELECT l_suppkey, 'info@shop' || l_suppkey || '.com' FROM {_LINES}",
 }
