@@ -22,6 +22,8 @@ from leadloom.llm.word_ids import word_ids
 
 #: Longest code in bits; ids from one checkpoint to the next; ids after which a block is closed.
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 20, 128, 1 << 16
+#: Pieces between blanks that a worker keeps the ids of; more than other encoders keep, as this one does little else.
+PIECES = 800_000
 
 TOKENS = "part int, seq long, doc_id long, run long, n_tokens long, ids binary"
 BLOCKS = "part int, seq long, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, bits binary, checkpoints binary"
@@ -115,7 +117,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Ids of each document and the end id, in order of doc_id: `part` and `seq` place a row, `run` counts the part's ids before it. Written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, run = word_ids(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, run = word_ids(tokenizer, PIECES), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in slices(batches, "text"):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]

@@ -14,7 +14,7 @@ import numpy as np
 #: ASCII punctuation that may follow a word without being part of it; the apostrophe starts contractions and stays out.
 PUNCTUATION = ".,;:!?$%&*#)(|\"-"
 #: Pieces that a worker keeps, and characters up to which it keeps them, so that texts without blanks do not fill the memory.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 #: Characters of the texts whose new pieces are looked up together.
 GROUP_CHARS = 1 << 18
 
@@ -107,11 +107,11 @@ def splits_at_blanks(spec: dict) -> bool:
     return bool(drops and plain and kinds == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor"))
 
 
-_held: dict[str, WordIds] = {}
+_held: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """The one encoder that a Python worker keeps for a tokenizer file."""
-    if path not in _held:
-        _held[path] = WordIds(path)
-    return _held[path]
+def word_ids(path: str, entries: int = CACHE_ENTRIES) -> WordIds:
+    """The one encoder that a Python worker keeps for a tokenizer file and a bound on its pieces."""
+    if (path, entries) not in _held:
+        _held[path, entries] = WordIds(path, entries)
+    return _held[path, entries]
