@@ -23,7 +23,7 @@ from leadloom.llm.word_ids import word_ids
 #: Longest code in bits; ids from one checkpoint to the next; ids after which a block is closed.
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 20, 128, 1 << 16
 #: Pieces between blanks that a worker keeps the ids of; more than other encoders keep, as this one does little else.
-PIECES = 800_000
+PIECES = 1_400_000
 
 TOKENS = "part int, seq long, doc_id long, run long, n_tokens long, ids binary"
 BLOCKS = "part int, seq long, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, bits binary, checkpoints binary"
