@@ -6,21 +6,41 @@ range and key is added up key by key. Rows with equal keys and order are told ap
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read again, so that its ranges stay as they are. A local session without one gets its own; a cluster an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's for checkpoints. A local session without one gets its own; a cluster an error."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leadloom-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="leadloom-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that its rows stay as they are and nothing before is computed twice."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of settled() that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+        place = tables[0].sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(tables[0].sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with numbers that grow in the order of columns, with gaps. Written."""
+    return settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, str]) -> DataFrame:
@@ -35,7 +55,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], measures: dict[str
     totals = ranged.groupBy(part, *keys).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"{part}_{name}") for name, c in measures.items()])
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(F.col(part).alias(f"{part}_of"), *[F.col(k).alias(f"{part}_{k}") for k in keys], *[F.coalesce(F.sum(f"{part}_{name}").over(before), F.lit(0)).alias(f"{part}_{name}") for name in measures])
-    same = F.col(part) == F.col(f"{part}_of")
+    same = F.col(part) == F.col(f"{part}_of")  # no keys: the whole table is one
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"{part}_{k}"))
     joined = sums.join(carried, same)
@@ -47,6 +67,25 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos
     return running(df.withColumn("__one", F.lit(1).cast("long")), keys, order, {name: "__one"}).drop("__one")
 
 
+def since_last(df: DataFrame, keys: list[str], order: str, hit: str) -> DataFrame:
+    """df with `since`: rows of its key since the last one for which hit is true, that one not counted, up to and with the row; `any_hit` says whether there is one."""
+    ranged = numbered(df, [*keys, order], "__since_place").withColumn("__since_part", F.shiftright("__since_place", 33))
+    own = Window.partitionBy("__since_part", *keys).orderBy("__since_place").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("__since_n", F.count("*").over(own))
+    local = local.withColumn("__since_last", F.max(F.when(F.col(hit), F.col("__since_n"))).over(own))
+    # a row for each range that a key lies in
+    totals = local.groupBy(F.col("__since_part").alias("__since_of"), *[F.col(k).alias(f"__since_key_{k}") for k in keys]).agg(F.max("__since_n").alias("__since_rows"), F.max("__since_last").alias("__since_hit"))
+    renamed = Window.partitionBy(*[f"__since_key_{k}" for k in keys]).orderBy("__since_of").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__since_before", F.coalesce(F.sum("__since_rows").over(renamed), F.lit(0))).withColumn("__since_carried", F.max(F.col("__since_before") + F.col("__since_hit")).over(renamed))
+    same = F.col("__since_part") == F.col("__since_of")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__since_key_{k}"))
+    joined = local.join(totals, same)
+    last = F.coalesce(F.col("__since_before") + F.col("__since_last"), F.col("__since_carried"))
+    since = F.col("__since_before") + F.col("__since_n") - F.coalesce(last, F.lit(0))
+    return joined.select(*df.columns, since.alias("since"), last.isNotNull().alias("any_hit"))
+
+
 def first_limit(df: DataFrame, keys: list[str], order: list[str], limits: list[tuple[str, str, float, bool]]) -> DataFrame:
     """Where each key's first limit is reached: keys, limit, order's columns and the sums there; keys that reach none have a null limit and their last row.
 

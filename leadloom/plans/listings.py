@@ -5,7 +5,7 @@ _CARD and _PAGE are plain SQL, the same for Spark and for the SQL beside each qu
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import linked, markup
+from leadloom.operators import crawl, linked, markup
 from leadloom.sources.tables import read
 
 _CARD = """CASE l_partkey % 4
@@ -76,7 +76,17 @@ def page_elements(spark, sf_dir):
     return markup.elements(rows, "page_id").groupBy("page_id", "name").agg(F.count("*").alias("n"), F.count(F.when(F.col("end") > F.col("at"), 1)).alias("n_holding"))
 
 
-QUERIES = {"q_result_hits": result_hits, "q_result_next": result_next, "q_page_cards": page_cards, "q_page_elements": page_elements, "q_linked_products": linked_products, "q_linked_emails": linked_emails}
+def listing_crawl(spark, sf_dir):
+    """A crawl over customers as pages of their nations' listings: each leads to three further ones and back to one before; accounts in credit are finds."""
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer")
+    pages = rows.select(key.cast("string").alias("url"), F.concat(F.lit("nation "), "c_nationkey").alias("branch"), (F.col("c_acctbal") > 4000).cast("int").alias("found"))
+    links = rows.select(key.cast("string").alias("url"), F.posexplode(F.array(key * 3 + 1, key * 3 + 2, key * 3 + 3, F.floor(key / 2))).alias("place", "target")).withColumn("target", F.col("target").cast("string"))
+    seeds = rows.filter("c_custkey < 4").select(key.cast("string").alias("url"), key.alias("place"))  # where the crawl starts
+    return crawl.crawled(pages, links, seeds)
+
+
+QUERIES = {"q_listing_crawl": listing_crawl, "q_result_hits": result_hits, "q_result_next": result_next, "q_page_cards": page_cards, "q_page_elements": page_elements, "q_linked_products": linked_products, "q_linked_emails": linked_emails}
 
 _LINES = "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey"
 ORACLES = {

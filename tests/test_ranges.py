@@ -46,3 +46,15 @@ def test_first_limit(spark):
             want[key] = ("one" if x >= 40 else "two" if y >= 30 else "three" if at >= 880 else None, at, x, y)
     assert got == want
     assert ranges.first_limit(df.limit(0), ["key"], ["at"], limits).count() == 0
+
+
+def test_since_last(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["hot"] * 9 + ["a", None]), i, rng.random() < 0.2) for i in range(300)]
+    df = spark.createDataFrame(data, "key string, at int, hit boolean").repartition(5)
+    want, state = {}, {}
+    for key, at, hit in data:
+        n, some = state.get(key, (0, False))
+        state[key] = (0, True) if hit else (n + 1, some)
+        want[at] = state[key]
+    assert {r.at: (r.since, r.any_hit) for r in ranges.since_last(df, ["key"], "at", "hit").collect()} == want
