@@ -11,7 +11,8 @@ not compared all with all: a first round compares every chunk with one hub chunk
 outside the gathering's largest component with the rest, so no link between components is lost.
 
 Null texts and texts without words have no set and no links. Rows are judged one by one: repeated rows are one class.
-A null doc_id counts as larger than others. Other columns are ignored or, in deduplicated(), returned as they are.
+A null doc_id counts as larger than others. A text of any length is read whole; its set is as large as it has distinct runs. An empty
+table gives an empty result. Other columns are ignored or, in deduplicated(), returned as they are.
 """
 
 from collections.abc import Iterator

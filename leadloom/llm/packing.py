@@ -6,7 +6,8 @@ of their ids, neighbours along the curve one after the other, is cut into sequen
 sequence can be short, so padding is less than one sequence in all.
 
 Null texts count as empty (a document of the end id alone); documents with equal keys follow one another by doc_id, then
-by their ids, nulls first; repeated rows are packed as often as they occur; other columns are ignored.
+by their ids, nulls first; repeated rows are packed as often as they occur; other columns are ignored. A text of any length is encoded whole and cut into as
+many pieces as it needs. An empty table gives no sequences.
 """
 
 import zlib

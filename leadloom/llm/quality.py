@@ -9,7 +9,7 @@ fit the ridge and the last one the calibration. doc_id, lang, source and labels
 
 Null texts count as empty, and empty texts have a score like any other. Several labels of one doc_id are averaged; null
 labels and labels without a document are ignored; repeated documents are scored one by one. Without any training rows
-each score is 0.5. Other columns are ignored or, in kept(), returned as they are.
+each score is 0.5. A text of any length is measured whole; an empty table has no scores. Other columns are ignored or, in kept(), returned as they are.
 """
 
 from collections.abc import Iterator

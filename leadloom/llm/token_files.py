@@ -6,7 +6,7 @@ data set, its documents and their lengths, the code bits, and the bit offset of
 decoded from its own row alone, all its checkpoints side by side by one table look-up for each id.
 
 Null texts count as empty; a null doc_id sorts first; rows with equal doc_id follow one another, by text; empty tables
-give empty data sets; other columns are ignored.
+give empty data sets; other columns are ignored. A text of any length is encoded whole and lies in one block.
 """
 
 from collections.abc import Iterator
