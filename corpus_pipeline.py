@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through quality, exact and near deduplication and decontamination into packed sequences.
 
 Each stage takes what its predecessor wrote, decides on all of it, and returns the columns of documents; the last one
-returns the packed pieces with their ids. Nulls, empty texts and repeated rows are treated as each operator says.
+returns the packed pieces with their ids. Nulls, empty and very long texts and repeated rows are treated as each operator says; empty
+tables give no pieces, and without labels every document passes the classifier.
 
 A stage's own tables lie in a folder of its own. Its result still reads them until it is written, so they are removed
 when the next stage starts, whose documents are what was written.

@@ -51,12 +51,17 @@ def preferred_first(df: DataFrame, preferred: Column, n: int, *by: Column) -> Da
     return top(df, n, (~preferred).cast("int"), *by)
 
 
-def matches_shown(df: DataFrame, key: str, fit: str, *by: str, most: int = 3) -> DataFrame:
-    """At most three matches of each key, high before medium before low; low ones only where there is nothing else."""
+def matches_shown(df: DataFrame, key: str, fit: str, offer: str, *by: str, looked_at: int = 6, most: int = 3) -> DataFrame:
+    """The matches of each key that are shown, of its first `looked_at` by order: high before medium before low, `most` of them.
+
+    Where the whole offer is low, low ones are shown like others; else only where there is nothing better, and then one less.
+    """
+    first = newest(df, [key], looked_at, *[F.col(c) for c in by]).drop("place")
     rank = level(F.col(fit), RELEVANCE)
-    best = df.groupBy(key).agg(F.max(rank).alias("__best"))
-    kept = df.join(best, key).filter((rank > 1) | (F.col("__best") <= 1)).drop("__best")
-    return newest(kept, [key], most, rank.desc(), *[F.col(c) for c in by])
+    best = first.groupBy(key).agg(F.max(rank).alias("__best"))
+    low_offer = level(F.col(offer), RELEVANCE) <= 1
+    kept = first.join(best, key).filter(low_offer | (rank > 1) | (F.col("__best") <= 1)).withColumn("__most", F.when(low_offer | (F.col("__best") > 1), most).otherwise(most - 1))
+    return newest(kept, [key], most, rank.desc(), *[F.col(c) for c in by]).filter(F.col("place") <= F.col("__most")).drop("__best", "__most")
 
 
 def ragged_round_robin(df: DataFrame, bucket: str, item: str, place: str, cap: int) -> DataFrame:

@@ -6,7 +6,7 @@ orders and customers; _LINE, _HEAD, _ORDER, _ADDRESS and _ASKED are plain SQL, t
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import intent, locating
+from leadloom.operators import dedup, intent, locating
 from leadloom.plans.leads import companies
 from leadloom.sources.tables import read
 
@@ -104,7 +104,25 @@ def places_mentioned(spark, sf_dir):
     return found.groupBy("mentioned", "verdict").agg(F.count("*").alias("companies"))
 
 
-QUERIES = {"q_query_parse": query_parse, "q_place_aliases": aliases, "q_location_evidence": location_evidence, "q_location_verdict": location_verdict, "q_places_mentioned_tristate": places_mentioned}
+def hunt_queries(spark, sf_dir):
+    """Searches of each supplier's hunt: its first three products, two segments as roles, its nation."""
+    parts = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct().join(read(spark, sf_dir, "part"), "p_partkey")
+    first = dedup.ordered_distinct(parts, ["s_suppkey"], "p_name", F.col("p_partkey"), 3)
+    nations = read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    roles = F.expr("CASE s_suppkey % 4 WHEN 0 THEN array('Building', ' buildings', 'machinery') WHEN 1 THEN array('household shops', '') WHEN 2 THEN array('clubs', 'Automobile') ELSE array() END")
+    hunts = first.join(read(spark, sf_dir, "supplier"), "s_suppkey").join(nations, "s_nationkey").select("s_suppkey", F.col("values").alias("products"), roles.alias("roles"), F.when(F.col("s_suppkey") % 3 != 0, F.col("n_name")).alias("location"))
+    return intent.generated(hunts, "s_suppkey", lexicon(spark, sf_dir))
+
+
+def precise_queries(spark, sf_dir):
+    """Each order's search line parsed and written as one precise search; products that end in a noun of many parts mean many things."""
+    found = intent.parsed(query_lines(spark, sf_dir), "o_orderkey", "line", lexicon(spark, sf_dir))
+    nouns = read(spark, sf_dir, "part").groupBy(F.substring_index("p_name", " ", -1).alias("head")).agg(F.min("p_type").alias("kind")).filter("head < 'g'")
+    heads = nouns.select("head", F.when(F.col("head") < "c", F.array(F.lower("kind"), F.lit("used"))).alias("exclude"))
+    return intent.formatted(found, "o_orderkey", heads)
+
+
+QUERIES = {"q_hunt_queries": hunt_queries, "q_precise_queries": precise_queries, "q_query_parse": query_parse, "q_place_aliases": aliases, "q_location_evidence": location_evidence, "q_location_verdict": location_verdict, "q_places_mentioned_tristate": places_mentioned}
 
 _WORLD = "nation JOIN region ON n_regionkey = r_regionkey"
 _COMPANIES = f"customer JOIN ({_WORLD}) ON c_nationkey = n_nationkey"
@@ -153,8 +171,7 @@ w AS (SELECT c_custkey, CASE WHEN asked IS NOT NULL THEN coalesce(named, false)
     CASE WHEN reason NOT IN ('', 'uncertain_location', 'country_only') OR (asked IS NOT NULL AND (coalesce(office, false) OR (here AND line IS NOT NULL))) THEN 'high' WHEN reason = '' AND spot IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,
     coalesce(concat_ws(', ', spot.name, spot.parent), '') AS business_location, reason IN ('foreign_business_serving_target_area', 'location_mismatch_country') AS rejected FROM v)"""
 
-ORACLES = {
-    "q_query_parse": rf"""WITH {_LEXICON},
+_PARSED = rf"""WITH {_LEXICON},
 parts AS (SELECT l_orderkey AS o_orderkey, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1),
 lines AS (SELECT o_orderkey, {_LINE} AS line FROM orders JOIN parts USING (o_orderkey) JOIN part USING (p_partkey) JOIN ({_COMPANIES}) ON o_custkey = c_custkey),
 t AS (SELECT o_orderkey, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '(^|\s)-\S+', '', 'g')), '^"([^"]+)"\s*', '"\1" ')) AS text FROM lines),
@@ -166,8 +183,24 @@ hits AS (SELECT o_orderkey, start, -n AS less, kind, name, tier FROM (SELECT *,
 role AS (SELECT o_orderkey, min({{'tier': tier, 'start': start, 'less': less, 'name': name}}) AS role FROM hits JOIN g USING (o_orderkey) WHERE kind = 'role' AND start - less <= until AND CASE WHEN quoted != '' THEN start = since ELSE start >= 1 END GROUP BY 1),
 f AS (SELECT *, coalesce(marker + 1, role.start - role.less, len(words)) AS start FROM g LEFT JOIN role USING (o_orderkey)),
 named AS (SELECT o_orderkey, {_GREEDY.format(hits="list({'start': hits.start, 'less': less, 'name': name})")} AS kept FROM hits JOIN f USING (o_orderkey) WHERE kind = 'place' AND hits.start >= f.start GROUP BY 1)
-SELECT o_orderkey, CASE WHEN quoted != '' THEN quoted ELSE array_to_string(tokens[:coalesce(role.start, until)], ' ') END AS product, coalesce(role.name, '') AS role, regexp_replace(array_to_string(tokens[start + 1:], ' '), '[,.\s]+$', '') AS place,
-    coalesce(array_to_string(list_transform(kept, lambda k: k.name), '|'), '') AS places FROM f LEFT JOIN named USING (o_orderkey)""",
+"""
+_PARSE = """SELECT o_orderkey, CASE WHEN quoted != '' THEN quoted ELSE array_to_string(tokens[:coalesce(role.start, until)], ' ') END AS product, coalesce(role.name, '') AS role, regexp_replace(array_to_string(tokens[start + 1:], ' '), '[,.\\s]+$', '') AS place,
+    coalesce(array_to_string(list_transform(kept, lambda k: k.name), '|'), '') AS places FROM f LEFT JOIN named USING (o_orderkey)"""
+
+ORACLES = {
+    "q_query_parse": _PARSED + _PARSE,
+    "q_precise_queries": f"""{_PARSED}, parsed AS ({_PARSE}), heads AS (SELECT split_part(p_name, ' ', -1) AS head, min(p_type) AS kind FROM part GROUP BY 1 HAVING head < 'g'),
+h AS (SELECT o_orderkey, product, place, kind, head, concat_ws(' ', CASE WHEN head IS NOT NULL AND contains(product, ' ') THEN '"' || product || '"' ELSE product END, nullif(role, '')) AS said FROM parsed LEFT JOIN heads ON head = lower(split_part(product, ' ', -1)))
+SELECT o_orderkey, CASE WHEN product = '' THEN '' ELSE concat_ws(' ', said, CASE WHEN place != '' AND NOT contains(lower(said), lower(place)) THEN place END, CASE WHEN head < 'c' THEN '-' || lower(kind) || ' -used' END) END AS query FROM h""",
+    "q_hunt_queries": """WITH f AS (SELECT l_suppkey, p_name, min(l_partkey) AS first FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_name QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY min(l_partkey)) <= 3),
+r AS (SELECT * FROM (VALUES (0, 1, 'buildings', 'building'), (0, 2, 'machinerys', 'machinery'), (1, 1, 'household shops', 'household shop'), (2, 1, 'clubs', 'club'), (2, 2, 'automobiles', 'automobile'), (3, 1, 'distributors', 'distributor')) v(m, n, role, one)),
+p AS (SELECT l_suppkey, first, p_name, CASE WHEN p_name LIKE '%ies' THEN p_name[:-4] || 'y' WHEN p_name LIKE '%s' AND p_name NOT LIKE '%ss' THEN p_name[:-2] ELSE p_name END AS single, n, role, one, CASE WHEN s_suppkey % 3 != 0 THEN ' ' || n_name ELSE '' END AS location
+    FROM f JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN r ON m = s_suppkey % 4),
+q AS (SELECT l_suppkey, 'primary' AS bucket, {'a': n, 'b': first, 'c': 0} AS spot, p_name || ' ' || role || location AS query FROM p
+    UNION ALL SELECT l_suppkey, 'volume', {'a': n, 'b': first, 'c': 1}, '"' || p_name || '" ' || role || location FROM p UNION ALL SELECT l_suppkey, 'volume', {'a': n, 'b': first, 'c': 2}, '"' || p_name || '" ' || one || location FROM p
+    UNION ALL SELECT l_suppkey, 'volume', {'a': n, 'b': first, 'c': 3}, '"' || single || '" ' || one || location FROM p WHERE single != p_name),
+d AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY l_suppkey, lower(query) ORDER BY bucket, spot) = 1)
+SELECT l_suppkey AS s_suppkey, bucket, row_number() OVER (PARTITION BY l_suppkey, bucket ORDER BY spot)::int AS place, query FROM d""",
     "q_place_aliases": f"""WITH {_LEXICON}, s AS (SELECT s_suppkey, lower(trim(CASE s_suppkey % 3 WHEN 0 THEN replace(n_name, '_', ' ') WHEN 1 THEN n_name ELSE s_name END)) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 n AS (SELECT s_suppkey, place, (SELECT min(name) FROM lex WHERE kind = 'place' AND phrase = place) AS name FROM s)
 SELECT s_suppkey, concat_ws('|', place, string_agg(phrase, '|' ORDER BY phrase != lower(n.name), phrase)) AS aliases FROM n LEFT JOIN lex ON lex.name = n.name AND kind = 'place' AND phrase != place GROUP BY s_suppkey, place""",

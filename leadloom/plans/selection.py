@@ -66,9 +66,9 @@ def first_pending(spark, sf_dir):
 
 
 def match_list(spark, sf_dir):
-    """Up to three parts of each brand, best level first."""
-    rows = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 30, "Medium").otherwise("low").alias("fit"))
-    return ordering.matches_shown(rows, "p_brand", "fit", "p_partkey").select("p_brand", "p_partkey", "fit", "place")
+    """The parts that are shown of each brand, kind of offer and week day of keys, best level first."""
+    rows = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 30, "Medium").otherwise("low").alias("fit"), F.when(F.col("p_type") == "PROMO", "low").otherwise("high").alias("offer"), F.concat_ws(" ", "p_brand", (F.col("p_type") == "PROMO").cast("string"), (F.col("p_partkey") % 7).cast("string")).alias("account"))
+    return ordering.matches_shown(rows, "account", "fit", "offer", "p_partkey").select("account", "p_partkey", "fit", "place")
 
 
 def preferred_parts(spark, sf_dir):
@@ -85,9 +85,9 @@ def ragged_lists(spark, sf_dir):
 
 
 def lane_breaker(spark, sf_dir):
-    """How often four cheap events in a row blocked a user's lane."""
+    """How often four cheap events in a row blocked a user's lane for two days, and what fell into blocks."""
     rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") >= 20).cast("int").alias("hits"))
-    return state.blocked_lanes(rows, "user_id", F.col("hits"), F.col("ts"), F.col("event_id"))
+    return state.blocked_lanes(rows, "user_id", "hits", "ts", "event_id", seconds=2 * 86_400)
 
 
 def reopened_cursors(spark, sf_dir):
@@ -103,8 +103,8 @@ def reopened_cursors(spark, sf_dir):
 
 def cursor_keys(spark, sf_dir):
     """How many customers share each cursor."""
-    rows = read(spark, sf_dir, "customer").select(F.element_at(F.array(*map(F.lit, LIST_SOURCES + ("exhibitors", "web"))), F.col("c_nationkey") % 6 + 1).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey") % 4).alias("iso"), "c_mktsegment")
-    key = state.cursor_key(F.col("source"), F.col("iso"), F.lit("Old  Town"), F.col("c_mktsegment"), F.array(F.col("c_mktsegment"), F.lit("gym")), F.concat(F.lit("Query "), F.col("c_mktsegment")))
+    rows = read(spark, sf_dir, "customer").select(F.element_at(F.array(*map(F.lit, LIST_SOURCES + ("exhibitors", "web", "companies_house", "stockists"))), F.col("c_nationkey") % 8 + 1).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey") % 4).alias("iso"), "c_mktsegment")
+    key = state.cursor_key(F.col("source"), F.col("iso"), F.lit("Old  Town"), F.col("c_mktsegment"), F.array(F.col("c_mktsegment"), F.lit("gym")), F.concat(F.lit("Query "), F.col("c_mktsegment")), F.lit("Gym Straps"), F.when(F.col("iso") != "N1", F.concat(F.lit("Brand "), F.col("c_mktsegment"))))
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -260,17 +260,22 @@ ORACLES = {
         d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tier, text) AS k FROM r),
         p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY tier, length(text) DESC, turn) AS n FROM d WHERE k = 1) SELECT conv_id, turn, CAST(tier AS BIGINT) AS tier, text[1:280] AS text FROM p WHERE n = 1""",
     "q_first_pending": f"SELECT user_id, event_id FROM events WHERE event_type = 'error' AND value >= 10 AND (event_id % 3 <> 0 OR CAST(ts AS DATE) + INTERVAL 5 DAY >= TIMESTAMP '{NOW}') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
-    "q_match_list": """WITH r AS (SELECT p_brand, p_partkey, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 30 THEN 'Medium' ELSE 'low' END AS fit, CASE WHEN p_size > 40 THEN 3 WHEN p_size > 30 THEN 2 ELSE 1 END AS n FROM part),
-        k AS (SELECT *, max(n) OVER (PARTITION BY p_brand) AS best FROM r) SELECT p_brand, p_partkey, fit, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_partkey) AS place FROM k WHERE n > 1 OR best <= 1 QUALIFY place <= 3""",
+    "q_match_list": """WITH r AS (SELECT p_brand || ' ' || (p_type = 'PROMO') || ' ' || (p_partkey % 7) AS account, p_partkey, p_type = 'PROMO' AS low_offer, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 30 THEN 'Medium' ELSE 'low' END AS fit, CASE WHEN p_size > 40 THEN 3 WHEN p_size > 30 THEN 2 ELSE 1 END AS n FROM part),
+        f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY account ORDER BY p_partkey) <= 6), k AS (SELECT *, max(n) OVER (PARTITION BY account) AS best FROM f),
+        m AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY n DESC, p_partkey) AS place FROM k WHERE low_offer OR n > 1 OR best = 1) SELECT account, p_partkey, fit, place FROM m WHERE place <= CASE WHEN low_offer OR best > 1 THEN 3 ELSE 2 END""",
     "q_preferred_first": "SELECT row_number() OVER (ORDER BY NOT starts_with(p_name, 'red'), p_partkey) AS place, p_partkey FROM part QUALIFY place <= 120",
     "q_ragged_round_robin": """WITH l AS (SELECT p_brand, split_part(p_name, ' ', -1) AS noun, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part QUALIFY place <= 6),
         f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY noun ORDER BY place, p_brand) = 1) SELECT noun, place, p_brand FROM f ORDER BY place, p_brand, noun LIMIT 6""",
-    "q_lane_breaker": """WITH n AS (SELECT user_id, value < 20 AS empty, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, empty ORDER BY n) AS run FROM n),
-        r AS (SELECT user_id, count(*) AS length FROM g WHERE empty GROUP BY user_id, run) SELECT user_id, CAST(sum(length // 4) AS BIGINT) AS blocks, max(length) AS longest FROM r GROUP BY 1""",
+    "q_lane_breaker": """WITH RECURSIVE n AS (SELECT user_id, value >= 20 AS hit, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        w AS (SELECT DISTINCT user_id, 0::bigint AS n, 0::bigint AS pages, 0::bigint AS skipped, 0::bigint AS blocks, 0 AS strikes, 0::double AS until FROM n
+            UNION ALL SELECT w.user_id, w.n + 1, pages + (t >= until)::int, skipped + (t < until)::int, blocks + (t >= until AND NOT coalesce(hit, false) AND strikes = 3)::int,
+                CASE WHEN t < until THEN strikes WHEN coalesce(hit, false) OR strikes = 3 THEN 0 ELSE strikes + 1 END, CASE WHEN t >= until AND NOT coalesce(hit, false) AND strikes = 3 THEN t + 172800 ELSE until END
+            FROM w JOIN n ON n.user_id = w.user_id AND n.n = w.n + 1)
+        SELECT user_id, max(pages) AS pages, max(skipped) AS skipped, max(blocks) AS blocks FROM w GROUP BY user_id""",
     "q_reopened_cursors": """WITH n AS (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1), r AS (SELECT (['directory', 'osm', 'overture', 'wikidata', 'web'])[c_nationkey % 5 + 1] AS source, c_acctbal < 5000 AS done, coalesce(c, 0) AS c FROM customer LEFT JOIN n ON c_custkey = o_custkey),
         a AS (SELECT source, done, source <> 'web' AND done AND c = 0 AS again FROM r) SELECT source, CASE WHEN again OR NOT coalesce(done, false) THEN 'active' ELSE 'exhausted' END AS status, count(*) AS n, count(*) FILTER (again) AS at_start FROM a GROUP BY ALL""",
-    "q_cursor_keys": """WITH r AS (SELECT (['directory', 'osm', 'overture', 'wikidata', 'exhibitors', 'web'])[c_nationkey % 6 + 1] AS source, 'N' || (c_nationkey % 4) AS iso, c_mktsegment AS s FROM customer)
-        SELECT lower(CASE source WHEN 'directory' THEN 'dir ' || iso || ' ' || s WHEN 'osm' THEN 'osm ' || iso || ' Old Town ' || s WHEN 'overture' THEN 'ov ' || iso || ' Old Town ' || md5(s || ',gym')[1:8] WHEN 'wikidata' THEN 'wd ' || iso || ' ' || s WHEN 'exhibitors' THEN 'exh global' ELSE 'Query ' || s END) AS key, count(*) AS n FROM r GROUP BY 1""",
+    "q_cursor_keys": """WITH r AS (SELECT (['directory', 'osm', 'overture', 'wikidata', 'exhibitors', 'web', 'companies_house', 'stockists'])[c_nationkey % 8 + 1] AS source, 'N' || (c_nationkey % 4) AS iso, c_mktsegment AS s FROM customer)
+        SELECT lower(CASE source WHEN 'directory' THEN 'dir ' || iso || ' ' || s WHEN 'osm' THEN 'osm ' || iso || ' Old Town ' || s WHEN 'overture' THEN 'ov ' || iso || ' Old Town ' || md5(s || ',gym')[1:8] WHEN 'wikidata' THEN 'wd ' || iso || ' ' || s WHEN 'exhibitors' THEN 'exh global' WHEN 'companies_house' THEN 'ch ' || iso || ' ' || s || ' Gym Straps' WHEN 'stockists' THEN 'stock ' || iso || CASE WHEN iso = 'N1' THEN ' x' ELSE ' Brand ' || s END ELSE 'Query ' || s END) AS key, count(*) AS n FROM r GROUP BY 1""",
     "q_sent_notices": """WITH e AS (SELECT user_id, event_type, value, ts, event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS in_day FROM events),
         o AS (SELECT *, min(CASE WHEN value >= 30 THEN n END) OVER (PARTITION BY user_id, event_type) AS stop FROM e), s AS (SELECT * FROM o WHERE CASE WHEN event_type = 'click' THEN in_day = 1 ELSE stop IS NULL OR n <= stop END)
         SELECT user_id, event_type, count(*) AS n, min(event_id) AS least_id, max(event_id) AS greatest_id FROM s GROUP BY ALL""",

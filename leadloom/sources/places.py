@@ -1,4 +1,6 @@
-"""Place lists: a nested Parquet scan in a box, tiles, and one row for each site, surest first."""
+"""Place lists: a nested Parquet data set by release and cell, its scan in a box, tiles, one row for each site, and results kept for a while."""
+
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,51 @@ def tile_of(box: Box, n: int, lat: Column, lon: Column) -> Column:
     return F.when(lat.between(south, north) & lon.between(west, east), at(lat, south, north) * n + at(lon, west, east)).cast("long")
 
 
-def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """Places as they lie, hive partitions included."""
-    return spark.read.option("basePath", path).option("mergeSchema", "false").parquet(path)
+#: Degrees of a cell's sides.
+CELL = 30.0
+
+
+def cell_of(lat: Column, lon: Column) -> Column:
+    """The number of the cell of CELL degrees that a point lies in."""
+    return (F.floor((lat + 90) / CELL) * 100 + F.floor((lon + 180) / CELL)).cast("int")
+
+
+def cells_of(box: Box) -> list[int]:
+    """The cells that a box touches: at most those of the globe."""
+    south, west, north, east = box
+    at = lambda x, shift: math.floor((x + shift) / CELL)
+    return [i * 100 + j for i in range(at(south, 90), at(north, 90) + 1) for j in range(at(west, 180), at(east, 180) + 1)]
+
+
+def write_places(places: DataFrame, path: str, release: str) -> None:
+    """Add a release to a data set of places: a folder for each release and cell, rows within it in order of latitude and longitude.
+
+    A folder's rows may be in several files, so a crowded cell is written by several tasks; their value ranges let a scan pass over row groups.
+    """
+    placed = places.withColumn("release", F.lit(release)).withColumn("cell", cell_of(F.col("bbox.ymin"), F.col("bbox.xmin")))
+    ordered = placed.repartitionByRange("cell", "bbox.ymin", "bbox.xmin").sortWithinPartitions("cell", "bbox.ymin", "bbox.xmin")
+    ordered.write.mode("append").partitionBy("release", "cell").parquet(path)
+
+
+#: What a scan reads of a place, of older and newer releases; what a release lacks is null.
+PLACE = (
+    "names struct<primary string>, categories struct<primary string>, taxonomy struct<primary string>, websites array<string>, emails array<string>, phones array<string>, addresses array<struct<freeform string, locality string, region string>>, "
+    "bbox struct<xmin double, ymin double>, brand struct<names struct<primary string>>, operating_status string, confidence double, id string, release string, cell int"
+)
+
+
+def read_places(spark: SparkSession, path: str, release: str | None = None, box: Box | None = None) -> DataFrame:
+    """Places of a data set, of one release and the cells that a box touches if these are given. The schema is stated, so no file is opened for it."""
+    rows = spark.read.option("basePath", path).schema(PLACE).parquet(path)
+    if release is not None:
+        rows = rows.filter(F.col("release") == release)
+    return rows if box is None else rows.filter(F.col("cell").isin(cells_of(box)))
 
 
 def category(places: DataFrame) -> Column:
-    """The kind of a place: newer lists name the field taxonomy.primary, older ones categories.primary."""
-    return F.col("taxonomy.primary" if "taxonomy" in places.columns else "categories.primary")
+    """The kind of a place: newer releases name the field taxonomy.primary, older ones categories.primary; of both the newer counts."""
+    named = [F.col(f"{c}.primary") for c in ("taxonomy", "categories") if c in places.columns]
+    return F.coalesce(*named)
 
 
 def in_box(places: DataFrame, box: Box, categories: list[str]) -> DataFrame:
@@ -74,6 +113,12 @@ def cache_key(release: str, box: Box, categories: list[str]) -> Column:
     return F.md5(F.lit("|".join([release, ",".join(f"{x:.4f}" for x in box), ",".join(sorted(categories))])).cast("binary"))
 
 
+def keep_rows(rows: DataFrame, path: str, key: Column, now: Column) -> None:
+    """Save a search's rows under its key; other keys and earlier rows stay, as their age tells them apart."""
+    rows.withColumn("saved_at", now).withColumn("key", key).write.mode("append").partitionBy("key").parquet(path)
+
+
 def fresh_rows(cache: DataFrame, key: Column, now: Column, days: int = 7) -> DataFrame:
-    """Rows of a cache table (key, saved_at, ...) that are not older than `days`."""
-    return cache.filter((F.col("key") == key) & (F.col("saved_at") > now - F.make_dt_interval(F.lit(days))))
+    """Rows of a cache table (key, saved_at, ...) that are not older than `days`, those that were saved last."""
+    fresh = cache.filter((F.col("key") == key) & (F.col("saved_at") > now - F.make_dt_interval(F.lit(days))))
+    return fresh.join(fresh.agg(F.max("saved_at").alias("saved_at")), "saved_at", "left_semi")

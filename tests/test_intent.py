@@ -74,3 +74,27 @@ def test_occurrences_and_overlaps_against_brute_force(spark, monkeypatch, broadc
                 want.setdefault(i, []).append((s, p))
                 end = s + len(p.split())
     assert got == want and {(r.id, r.start, r.phrase) for r in found.collect()} == everything
+
+
+def test_generated_searches(spark):
+    lexicon = spark.createDataFrame(LEXICON, COLUMNS)
+    hunts = spark.createDataFrame([(1, ["Lifting  Straps", None, "belt"], ["Gym", "gyms", "traders"], "Texas"), (2, ["straps"], None, None), (3, None, ["gyms"], "x"), (4, ["a"], [" "], "")], "id int, products array<string>, roles array<string>, location string")
+    got = {}
+    for r in sorted(intent.generated(hunts, "id", lexicon).collect(), key=lambda r: (r.bucket, r.place)):
+        got.setdefault((r.id, r.bucket), []).append(r.query)
+    assert got == {
+        (1, "primary"): ["lifting straps gyms Texas", "belt gyms Texas", "lifting straps traders Texas", "belt traders Texas"],
+        (1, "volume"): ['"lifting straps" gyms Texas', '"lifting straps" gym Texas', '"lifting strap" gym Texas', '"belt" gyms Texas', '"belt" gym Texas', '"lifting straps" traders Texas', '"lifting straps" trader Texas', '"lifting strap" trader Texas', '"belt" traders Texas', '"belt" trader Texas'],
+        (2, "primary"): ["straps distributors"], (2, "volume"): ['"straps" distributors', '"straps" distributor', '"strap" distributor'],
+        (4, "primary"): ["a distributors"], (4, "volume"): ['"a" distributors', '"a" distributor'],
+    }
+
+
+def test_precise_searches_parse_back(spark):
+    lexicon = spark.createDataFrame(LEXICON, COLUMNS)
+    heads = spark.createDataFrame([("straps", ["truck", "cargo"]), ("belts", None)], "head string, exclude array<string>")
+    lines = [(1, "lifting straps", "gyms", "Texas"), (2, "Straps", "", ""), (3, "leather belts", "distributors", "New York"), (4, "", "gyms", "Texas"), (5, "wraps", "gyms", "London"), (6, None, None, None)]
+    found = intent.formatted(spark.createDataFrame(lines, "id int, product string, role string, place string"), "id", heads)
+    assert {r.id: r.query for r in found.collect()} == {1: '"lifting straps" gyms Texas -truck -cargo', 2: "Straps -truck -cargo", 3: '"leather belts" distributors New York', 4: "", 5: "wraps gyms London", 6: ""}
+    back = {r.id: (r["product"], r.role, r.place) for r in intent.parsed(found, "id", "query", lexicon).collect()}
+    assert all(back[i] == (p, r, at) for i, p, r, at in lines[:3] + lines[4:5])
