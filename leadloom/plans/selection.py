@@ -1,10 +1,13 @@
 """Queries over ordered lists, picks, filters and kept state, on the driver's tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leadloom.functions import text, url
 from leadloom.operators import dedup, ordering, ranges, state
 from leadloom.sources.tables import read
+from leadloom.streaming import ordered
 
 NOW = "2024-01-20 00:00:00"
 SEGMENT_LEVELS = {"AUTOMOBILE": "high", "BUILDING": "medium", "MACHINERY": "low"}
@@ -90,6 +93,29 @@ def lane_breaker(spark, sf_dir):
     return state.blocked_lanes(rows, "user_id", "hits", "ts", "event_id", seconds=2 * 86_400)
 
 
+STREAMED = "key long, id long, ts timestamp, kind string, hits double"
+
+
+def streamed(spark, rows, make):
+    """What a streaming rule makes of rows: they are written as files in no order of time, with a last row beyond all others that lets the watermark pass."""
+    folder = f"{ranges.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    each = rows.select(F.col("key").cast("long").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "kind", F.col("hits").cast("double").alias("hits"))
+    each.repartition(3, "id").write.parquet(f"{folder}/in")
+    # a watermark that lags by the table's span takes no row for late, in whatever order files come
+    span = (each.agg(F.date_diff(F.max("ts"), F.min("ts")).alias("days")).first().days or 0) + 2
+    end = each.agg(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), (F.max("ts") + F.make_dt_interval(F.lit(2 * span))).alias("ts"), F.lit("end").alias("kind"), F.lit(0.0).alias("hits"))
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return ordered.drained(spark, lambda s: make(s, f"{span} days"), f"{folder}/in", STREAMED, folder).filter("key >= 0")
+
+
+def stream_lanes(spark, sf_dir):
+    """The lane breaker over a stream of events: pages, skipped ones and blocks by user, as the batch query has them."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.lit("").alias("kind"), (F.col("value") >= 20).cast("int").alias("hits"))
+    found = streamed(spark, rows, lambda s, late: ordered.lanes(s, late, seconds=2 * 86_400))
+    count = lambda *kinds: F.count(F.when(F.col("outcome").isin(*kinds), 1))
+    return found.groupBy(F.col("key").alias("user_id")).agg(count("hit", "empty", "blocked").alias("pages"), count("skipped").alias("skipped"), count("blocked").alias("blocks"))
+
+
 def reopened_cursors(spark, sf_dir):
     """Customers as list cursors, candidates being their orders: counted by what a retry makes of them."""
     n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("candidates"))
@@ -237,7 +263,7 @@ def lenient_json(spark, sf_dir):
 
 QUERIES = {
     "q_final_lead_rank": final_lead_rank, "q_search_hit_rank": search_hit_rank, "q_inbox_order": inbox_order, "q_newest_notices": newest_notices, "q_primary_signal": primary_turns, "q_first_pending": first_pending,
-    "q_match_list": match_list, "q_preferred_first": preferred_parts, "q_ragged_round_robin": ragged_lists, "q_lane_breaker": lane_breaker, "q_reopened_cursors": reopened_cursors, "q_cursor_keys": cursor_keys,
+    "q_match_list": match_list, "q_preferred_first": preferred_parts, "q_ragged_round_robin": ragged_lists, "q_lane_breaker": lane_breaker, "q_stream_lanes": stream_lanes, "q_reopened_cursors": reopened_cursors, "q_cursor_keys": cursor_keys,
     "q_sent_notices": sent_notices, "q_bounded_logs": bounded_logs, "q_ticket_facets": ticket_facets, "q_user_search": user_search, "q_inbox_filters": inbox_filters, "q_workspace_access": workspace_access,
     "q_page_positions": page_positions, "q_run_limits": run_limits, "q_applied_hits": applied_hits, "q_off_topic_pages": off_topic_pages, "q_engine_counts": engine_counts, "q_product_urls": product_urls, "q_term_hits": term_hits,
     "q_state_codes": state_codes, "q_lenient_json": lenient_json,
@@ -308,3 +334,4 @@ ORACLES = {
         SELECT n_nationkey, {', '.join(f"regexp_matches(t, ',\\s*{c}\\b|\\b{c}\\s+[0-9]{{5}}\\b" + ("" if c in text.CODES_THAT_ARE_WORDS else f"|(in|near)\\s+{c}\\b") + f"') AS in_{c}" for c in ('nj', 'ny', 'in', 'or', 'co', 'tx'))} FROM a""",
     "q_lenient_json": "SELECT event_type, count(*) AS n, count(props->>'$.k') AS read, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY 1",
 }
+ORACLES["q_stream_lanes"] = ORACLES["q_lane_breaker"]
