@@ -58,17 +58,33 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 #: Spark's setting by which a query's shuffle files go when it ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings by which it takes a join's side for small, and the bytes that it may have here: it goes by the size of compressed files, which are many times as large in the driver's memory.
+SMALL, SMALL_BYTES = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), 256 << 10
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while it is open."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, lost executors cost no recomputation before it, and its shuffle files go."""
+    """df written to the shared folder and read again: its lineage ends there, lost executors cost no recomputation before it, and its shuffle files go.
+
+    Spark chooses broadcast joins on its own only for sides of up to SMALL_BYTES; a lower threshold of the session holds.
+    """
     spark = df.sparkSession
-    path, before = new_path(spark, tag), spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    path = new_path(spark, tag)
+    lower = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() < SMALL_BYTES
+    with settings(spark, {CLEAN_UP: "true"} | ({} if lower else dict.fromkeys(SMALL, str(SMALL_BYTES)))):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

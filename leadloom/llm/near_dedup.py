@@ -29,8 +29,8 @@ from leadloom.llm.components import components
 SHINGLE, PERCENT = 5, 75
 K, MATCHES = 64, 32
 SEED = 7
-#: Classes and set bytes of a chunk; candidates up to which their ids are broadcast; word hashes that a worker keeps, of words of so many bytes at most.
-CHUNK, CHUNK_BYTES, BROADCAST_ROWS, CACHE_ENTRIES, CACHE_BYTES = 256, 4 << 20, 1 << 20, 500_000, 64
+#: Classes and set bytes of a chunk; bits by which texts are told from others before they are joined; word hashes that a worker keeps, of words of so many bytes at most.
+CHUNK, CHUNK_BYTES, MARKS, CACHE_ENTRIES, CACHE_BYTES = 256, 4 << 20, 1 << 24, 500_000, 64
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +104,16 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     return written(enough.select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - MATCHES + 1)).alias("p")).select("node", "p.key"), "postings")
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids, and a few others: what is broadcast is MARKS bits, however many ids there are."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bits = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position("bit").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    at = docs.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit"))
+    return at.join(F.broadcast(bits), "bucket").filter(F.getbit(byte, place % 8) == 1).select(*docs.columns)
+
+
 def full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """node, n, sig (a byte of each coordinate) and shingles of each class of asked (node, h1, h2, doc_id). Written."""
 
@@ -115,8 +125,8 @@ def full_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["h1", "h2", "sig", "shingles"])
 
     ids = written(asked.select("doc_id").distinct(), "asked")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(ids) if few else ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    some = marked(docs.select("doc_id", "text"), ids)
+    texts = some.join(ids, some.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     # rows of the same doc_id with another text, and all but one of equal sets, go here
     computed = texts.mapInArrow(sets, "h1 long, h2 long, sig binary, shingles binary").dropDuplicates(["h1", "h2"])
     return written(computed.join(asked.select("node", "h1", "h2"), ["h1", "h2"]).select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), "sig", "shingles"), "sets")
@@ -221,7 +231,7 @@ def groups(docs: DataFrame) -> DataFrame:
     least = written(each.groupBy("component").agg(F.min("least").alias("stays")), "least")
     named = written(each.join(least, "component").select("h1", "h2", "stays"), "stays")
     discard(each, least)
-    full = rows.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"])
+    full = rows.filter("n_shingles > 0").select("row", "doc_id", "n_shingles", "h1", "h2").join(named.hint("merge"), ["h1", "h2"])
     empty = rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
     return full.select("row", "doc_id", "n_shingles", F.col("stays.doc_id").alias("component_id"), F.col("stays.row").alias("kept_row")).union(empty)
 
@@ -231,7 +241,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     key = fresh(docs, "row_key")
     rows = written(with_row_key(docs, key), "rows")
     kept = groups(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).filter("row = kept_row").select(F.col("row").alias(key))
-    return rows.join(kept, key, "left_semi").drop(key)
+    return rows.join(kept.hint("merge"), key, "left_semi").drop(key)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

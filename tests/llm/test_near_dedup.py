@@ -108,3 +108,20 @@ def test_deduplicated_and_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(N.op5_near_dedup(spark, sf)) == brute(rows)
+
+
+def test_what_is_broadcast_does_not_grow_with_candidates(spark, tmp_path):
+    """Sides of joins that are small as compressed files alone are not sent to all tasks, and of ids only bits are."""
+    from leadloom.llm.common import written
+
+    ids = written(spark.range(0, 600_000, 2).select((F.col("id") * 7919).alias("doc_id")), "ids")
+    docs = written(spark.range(0, 600_000).select((F.col("id") * 7919).alias("doc_id"), F.lit("x").alias("text")), "docs")
+    store = spark._jsparkSession.sharedState().statusStore()
+    written(docs.join(ids, "doc_id", "left_semi"), "joined")
+    last = store.executionsList().apply(store.executionsList().size() - 1)
+    assert "SortMergeJoin" in last.physicalPlanDescription() and "BroadcastHashJoin" not in last.physicalPlanDescription()
+    few = ids.filter("doc_id % 1000 = 0").union(spark.createDataFrame([(None,)], "doc_id long"))
+    some = N.marked(docs.union(spark.createDataFrame([(None, "y")], "doc_id long, text string")), few)
+    assert some.columns == ["doc_id", "text"]
+    assert some.join(few, some.doc_id.eqNullSafe(few.doc_id), "left_semi").count() == few.count()
+    assert some.count() < few.count() * 100
