@@ -1,7 +1,7 @@
 """Linked data (JSON-LD) in pages, walked level by level over variants.
 
 Every value of every block is a row with its place: blocks in order of the page, then depth, then the positions on the way. A level is
-written before the next one is looked at, so each is computed once. A document deeper than `most` levels raises an error; nothing is left out
+written before the next one is looked at, so each is computed once; in small row groups, as outer levels hold whole documents in a value. A document deeper than `most` levels raises an error; nothing is left out
 in silence. Blocks that are no JSON, null pages and pages without blocks give no rows.
 """
 
@@ -24,11 +24,11 @@ def blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 def walked(found: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """key, block, depth, path, name and value of every value in blocks. path sorts as positions do; name is null for members of lists."""
     spark = found.sparkSession
-    level = settled(found.select(key, "block", F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), "value"))
+    level = settled(found.select(key, "block", F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"), "value"), long_values=True)
     out = level
     for depth in range(1, most + 2):
         inside = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "member", "inner"))
-        level = settled(inside.select(key, "block", F.lit(depth).alias("depth"), F.concat("path", F.lpad(F.col("pos").cast("string"), 10, "0")).alias("path"), F.col("member").alias("name"), F.col("inner").alias("value")))
+        level = settled(inside.select(key, "block", F.lit(depth).alias("depth"), F.concat("path", F.lpad(F.col("pos").cast("string"), 10, "0")).alias("path"), F.col("member").alias("name"), F.col("inner").alias("value")), long_values=True)
         if level.isEmpty():
             return out
         out = out.union(level)

@@ -23,11 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that its rows stay as they are and nothing before is computed twice."""
+#: Bytes of a row group and rows after which they are first counted, for tables with long values: a reader holds a batch of rows at a time, thousands of them, but none beyond a row group.
+GROUP_BYTES, GROUP_ROWS = 1 << 20, 10
+
+
+def settled(df: DataFrame, long_values: bool = False) -> DataFrame:
+    """df written to the shared folder and read again, so that its rows stay as they are and nothing before is computed twice. Where values may be long, row groups are small."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size": GROUP_BYTES // 4, "parquet.block.size.row.check.min": GROUP_ROWS, "parquet.page.size.row.check.min": GROUP_ROWS} if long_values else {}
+    df.write.options(**groups).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

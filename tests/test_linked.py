@@ -42,3 +42,15 @@ def test_products_by_hand(spark):
     # of one link the shallower entry counts
     assert got == {(0, "ring two", "/RING", "", ""), (0, "Bolt", "#b", "3", "b.png"), (0, "Lone", "", "", "")}
     assert [tuple(r) for r in linked.emails(rows, "id").collect()] == [(0, "info@brand.com")]
+
+
+def test_a_batch_of_long_documents_stays_small(spark):
+    """A reader's batch ends with a row group, so no row group of outer levels holds many whole documents."""
+    import pyarrow.parquet as pq
+
+    pages = [page([{"name": f"{i} {j} {(i * 7919 + j) ** 5}", "email": f"a{j}@b{i}.com"} for j in range(400)]) for i in range(300)]
+    rows = walk(spark, *pages)
+    assert linked.emails(rows, "id").count() == 300 * 400
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in rows.filter("depth = 0").inputFiles()]
+    sizes = [(g.num_rows, g.total_byte_size) for f in files for g in (f.metadata.row_group(i) for i in range(f.num_row_groups))]
+    assert max(n for n, size in sizes if size / n > 10_000) <= 100
