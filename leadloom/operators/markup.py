@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.html import decoded
 from leadloom.functions.text import clean
+from leadloom.operators.ranges import settled
 
 TOKEN = r"(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)|<[a-z/!?][^>]*(?:>|$)|[^<]+|<"
 #: Tags without an end, and tags that the next of their kind ends.
@@ -60,15 +61,20 @@ def elements(rows: DataFrame, key: str) -> DataFrame:
 
 
 def within(outer: DataFrame, inner: DataFrame, key: str, prefix: str = "outer_") -> DataFrame:
-    """Rows of inner with the rows of outer (key, at, end, ...; renamed with the prefix) that they lie in."""
+    """Rows of inner with the rows of outer (key, at, end, ...; renamed with the prefix) that they lie in.
+
+    Each of outer is spread over the places in it, so rows meet by equal places and only those that lie within.
+    """
     renamed = outer.select(*[F.col(c).alias(f"{prefix}{c}") for c in outer.columns])
-    return inner.join(renamed, F.col(key).eqNullSafe(F.col(f"{prefix}{key}")) & (F.col("at") > F.col(f"{prefix}at")) & (F.col("at") < F.col(f"{prefix}end"))).drop(f"{prefix}{key}")
+    first, end = F.col(f"{prefix}at") + 1, F.col(f"{prefix}end")
+    spread = renamed.filter(first < end).withColumn("__place", F.explode(F.sequence(first, end - 1)))
+    return inner.join(spread, F.col(key).eqNullSafe(F.col(f"{prefix}{key}")) & (F.col("at") == F.col("__place"))).drop(f"{prefix}{key}", "__place")
 
 
 def cards(found: DataFrame, key: str, selectors: list[tuple[str, str | None]]) -> DataFrame:
     """Elements of the first of selectors (tag, class or None) of which a page has any."""
     hit = F.coalesce(*[F.when((F.col("name") == tag) & (has_class(F.col("raw"), css) if css else F.lit(True)), n) for n, (tag, css) in enumerate(selectors)], F.lit(None).cast("int"))
-    marked = found.withColumn("selector", hit).filter("selector is not null")
+    marked = settled(found.withColumn("selector", hit).filter("selector is not null"))
     least = marked.groupBy(F.col(key).alias("__key")).agg(F.min("selector").alias("__least"))
     return marked.join(least, F.col(key).eqNullSafe(F.col("__key")) & (F.col("selector") == F.col("__least"))).drop("__key", "__least", "selector")
 
@@ -78,7 +84,7 @@ def listing(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, st
 
     The link is the first one in the card that leads to a page; the title is the first heading, or else what the link says.
     """
-    rows = tokens(pages, key, html)
+    rows = settled(tokens(pages, key, html))  # pages are cut once, not for every use
     boxes = cards(elements(rows, key), key, selectors).select(key, "at", "end")
     inside = within(boxes, rows.filter("kind != 'other'"), key, "card_")
     each = inside.groupBy(key, "card_at").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "name", "raw"))).alias("parts"))

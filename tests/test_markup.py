@@ -77,3 +77,14 @@ def test_next_page(spark):
     pages = ['<a rel="next" href="/2">2</a>', '<a href="?p=2"> Next </a>', '<a class="b next" href="/n">3</a>', '<form><input type=submit value="Next"></form>', '<a href="/next">nothing</a>', None, "", "<a rel=next>x</a>", "x" * 300_000 + '<a rel="next" href="/far">f</a>']
     got = {r.id: (r.has_next, r.next_url) for r in markup.next_page(rows(spark, *pages), "id", "html").collect()}
     assert got == {0: (True, "/2"), 1: (True, "?p=2"), 2: (True, "/n"), 3: (True, ""), 4: (False, ""), 5: (False, ""), 6: (False, ""), 7: (False, ""), 8: (True, "/far")}
+
+
+def test_within_meets_by_equal_places(spark):
+    """Rows of one page are not compared all with all: places are keys of the join, and nested, empty and unkeyed outer rows count."""
+    outer = [(1, 0, 9), (1, 2, 5), (1, 3, 3), (1, 7, 8), (None, 1, 4)]
+    inner = [(k, at) for k in (1, 2, None) for at in range(11)]
+    boxes, rows = spark.createDataFrame(outer, "k int, at int, end int"), spark.createDataFrame(inner, "k int, at int")
+    got = markup.within(boxes, rows, "k")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, at, a, e) for k, at in inner for o, a, e in outer if k == o and a < at < e], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "(at#" in plan and "= __place#" in plan and "< outer_end#" not in plan.split("Join", 1)[1].split("\n")[0]
