@@ -110,8 +110,7 @@ def token_overlap(spark, sf_dir):
     """Texts that share two long words with the first three of a conversation's first turn, counted by conversation."""
     docs = read(spark, sf_dir, "documents").select("doc_id", overlap.long_words(F.col("text")).alias("words"))
     items = read(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.slice(overlap.long_words(F.col("text")), 1, 3).alias("words"))
-    hits = overlap.overlapping(docs, "doc_id", items, "conv_id")
-    return hits.groupBy("conv_id").agg(F.count("*").alias("docs"), F.max("hits").alias("best"), F.min("doc_id").alias("first_doc"))
+    return overlap.overlap_counts(docs, "doc_id", items, "conv_id").toDF("conv_id", "docs", "best", "first_doc")
 
 
 def text_fingerprint(spark, sf_dir):
