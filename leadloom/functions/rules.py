@@ -29,11 +29,19 @@ def found(text: Column, rules: list[Rule], before: int = 40, span: int = 140) ->
         raise ValueError(f"{len(rules)} rules in one expression; {MOST} at most")
     each = []
     for place, rule in enumerate(rules):
-        quote = F.regexp_extract(text, f"(?is).{{0,{before}}}(?:{rule.pattern}).{{0,{span}}}", 0)
+        quote = around(text, rule.pattern, before, span)
         each.append(F.struct(F.lit(place).alias("place"), F.lit(rule.claim).alias("claim"), F.lit(rule.level).alias("level"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.statement).alias("statement"), clean(quote).alias("quote")))
     return F.filter(F.array(*each), lambda x: x["quote"] != "")
 
 
+def around(text: Column, pattern: str, before: int, span: int) -> Column:
+    """The first match of (?is).{0,before}(?:pattern).{0,span}, empty without any. That pattern as it is tries each place `before` times; here texts without a match are read once, and others from `before` characters ahead of the first."""
+    ahead = F.length(F.regexp_extract(text, f"(?is)^(.*?)(?:{pattern})", 1))
+    near = F.substring(text, F.greatest(F.lit(1), ahead - before + 1), F.length(text))
+    # null texts stay null
+    return F.when(~F.regexp_like(text, F.lit(f"(?is){pattern}")), "").otherwise(F.regexp_extract(near, f"(?is).{{0,{before}}}(?:{pattern}).{{0,{span}}}", 0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether a pattern stands in a text, upper and lower case alike; false for null."""
     return F.coalesce(F.regexp_like(text, F.lit(f"(?i){pattern}")), F.lit(False))

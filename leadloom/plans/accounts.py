@@ -45,7 +45,9 @@ def accounts(spark, sf_dir):
     profiles = profiles.selectExpr("s_suppkey", *_split(_PROFILE.format(a="array(", b=")")))
     each = companies(spark, sf_dir).join(sites, "c_custkey", "left")
     each = each.selectExpr("c_custkey", "c_name AS name", *_split(_FACTS), "CASE WHEN c_custkey % 6 != 0 THEN site END AS site")
-    return each.join(profiles, F.col("c_custkey") % _EVERY == F.col("s_suppkey"))
+    # rules take far longer than their rows are large, so they are dealt by number: partitions by size would leave them to a few tasks
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return each.join(profiles, F.col("c_custkey") % _EVERY == F.col("s_suppkey")).repartition(tasks, "c_custkey", "s_suppkey")
 
 
 def _split(columns: str) -> list[str]:

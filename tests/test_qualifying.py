@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +69,25 @@ def test_rules_in_order_and_bounded(spark):
     assert got == {"a BB c\n d": [(0, "a BB c d"), (1, "a BB c d"), (2, "a BB c d")], None: [], "": [], "c": [(1, "c")]}
     with pytest.raises(ValueError):
         rules.found(F.col("text"), table * 200)
+
+
+def test_quotes_are_those_of_the_plain_pattern_and_come_fast(spark):
+    """Texts without a match, and those with one far in, are not read again for each character ahead of a quote."""
+    rng, parts = random.Random(5), ["now sourcing", "rfp", "new line", "2025", "tender", "x", "\n", "é", "😀", "our Factory", "oem", "word and word"]
+    texts = [(i, rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(0, 60)))) for i in range(300)] + [(300, None), (301, "")]
+    patterns = [r.pattern for r in Q.INTENT] + [Q.MAKER, *Q.MOTIONS.values(), "x", r"\b2025\b"]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    plain = [F.regexp_extract("text", f"(?is).{{0,40}}(?:{p}).{{0,140}}", 0) for p in patterns]
+    here = [rules.around(F.col("text"), p, 40, 140) for p in patterns]
+    for r in rows.select("id", F.array(*plain).alias("plain"), F.array(*here).alias("here")).collect():
+        assert r.plain == r.here, texts[r.id]
+    long = spark.createDataFrame([("a line of words " * 200_000,)], "text string").withColumn("text", F.concat("text", F.lit("now sourcing")))
+    began = time.monotonic()
+    assert [h.quote[-12:] for h in long.select(rules.found(F.col("text"), Q.INTENT).alias("h")).first().h] == ["now sourcing"]
+    assert time.monotonic() - began < 15
+
+
+def test_accounts_are_dealt_to_many_tasks(spark):
+    from leadloom.plans import accounts
+
+    assert accounts.accounts(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
