@@ -6,8 +6,9 @@ is; pieces are looked up by their longest word. Around each piece that stands th
 behind, for the fewest differences; what it covers is a candidate block for that template.
 
 Each block is compressed alone and with the templates that it is a candidate for as raw zstandard dictionaries, and they are ranked by how much of
-the block's size they save. Of blocks that overlap the one of which a template explains most words (fixed words less differences) counts, then the one
-with the fewest differences, then the one that compression ranks first, then the first by name. The differences in wording are reported.
+the block's size they save. Of blocks that overlap the one that compression ranks first counts (most bytes saved, then the fewest differences, then the
+first by name), unless one without a difference overlaps it and explains as many words (fixed words less differences): that is the wording itself, and
+counts in its stead. The differences in wording are reported.
 
 Null and empty texts have no licenses; each mention is a row of its own, so repeated lines and documents are repeated rows. A text of any
 length is read whole; of its words a worker holds twelve bytes each. Other columns are ignored. An empty table gives an empty result.
@@ -130,6 +131,34 @@ def differences_of(wanted: list[str], have: list[str]) -> list[str]:
     return out[::-1]
 
 
+def regions(ranked: list[tuple]) -> Iterator[list[tuple]]:
+    """Candidates (saved size below 0, differences, share, name, start, end, template's words) in stretches that no candidate links."""
+    region, last = [], 0
+    for mention in sorted(ranked, key=lambda x: x[4:6]):
+        if region and mention[4] >= last:
+            yield region
+            region = []
+        last = max(last, mention[5]) if region else mention[5]
+        region.append(mention)
+    if region:
+        yield region
+
+
+def chosen(region: list[tuple]) -> list[tuple]:
+    """Candidates that count, which do not overlap: in the order of compression, each unless an exact one that it overlaps explains as many words."""
+    explained = lambda x: sum(w != "*" for w in x[6]) - x[1]
+    overlaps = lambda x, y: x[4] < y[5] and y[4] < x[5]
+    left, kept = sorted(region, key=lambda x: x[:6]), []
+    while left:
+        best = left[0]
+        # more words each time, or the same without a difference, so this ends
+        while better := [x for x in left if not x[1] and overlaps(x, best) and (explained(x), -x[1]) > (explained(best), -best[1])]:
+            best = max(better, key=explained)
+        kept.append(best)
+        left = [x for x in left if not overlaps(x, best)]
+    return kept
+
+
 #: Ids of words that no template has, and of free ones.
 OTHER, FREE = -1, -2
 
@@ -195,11 +224,8 @@ class Scanner:
                 blocks[start, end] = [text[starts[i] : ends[i]].lower() for i in range(start, end)]
                 sizes[start, end] = len(self.alone.compress(" ".join(blocks[start, end]).encode("utf-8", "surrogatepass")))
             size = len(compressor.compress(" ".join(blocks[start, end]).encode("utf-8", "surrogatepass")))
-            ranked.append((n - sum(w != "*" for w in wanted), n, size / sizes[start, end], name, start, end, wanted))
-        kept: list[tuple] = []
-        for mention in sorted(ranked, key=lambda x: x[:6]):
-            if all(mention[5] <= k[4] or k[5] <= mention[4] for k in kept):
-                kept.append(mention)
+            ranked.append((size - sizes[start, end], n, size / sizes[start, end], name, start, end, wanted))
+        kept = [mention for region in regions(ranked) for mention in chosen(region)]
         found, number, counted = [], 0, 0
         for _, n, share, name, start, end, wanted in sorted(kept, key=lambda x: x[4]):
             cue = re.compile(CUE).search(text, starts[start], ends[end - 1])

@@ -151,3 +151,21 @@ def test_text_full_of_cues_is_read_fast():
     assert SCAN.scan("license a b c. " * 20_000) == []
     assert len(SCAN.scan("under the MIT license. Permission to " * 5_000 + MIT)) == 1
     assert time.process_time() - began < 5
+
+
+def test_compression_ranks_templates_of_edited_texts_and_exact_wordings_stand():
+    # "b" has two words of seventeen that differ, "a" one; yet "a" shares far fewer letters with the text
+    long = "qwzxjvkpqwzxjvkpyqhgfdbn"
+    text = f"granted under the terms of this {long}s public license to all who ask for it kindlyer today"
+    both = {"a": text.replace(f"{long}s", "short"), "b": text.replace(f"{long}s", long).replace("kindlyer", "kindly")}
+    [found] = L.Scanner(both).scan(text)
+    assert (found["license"], found["n_differences"]) == ("b", 2)
+    [found] = L.Scanner(both | {"c": text}).scan(text)
+    assert (found["license"], found["exact"]) == ("c", True)
+
+
+def test_nothing_beside_a_chosen_block_is_lost():
+    # (saved, differences, share, name, start, end, words): y goes for x, but z, which y overlaps, explains more; x stays beside z
+    x, y, z = (-30, 1, 0.5, "x", 0, 10, ["w"] * 9), (-20, 0, 0.5, "y", 8, 17, ["w"] * 9), (-10, 0, 0.5, "z", 14, 30, ["w"] * 16)
+    assert [list(r) for r in L.regions([z, x, y])] == [[x, y, z]]
+    assert sorted(k[3] for k in L.chosen([x, y, z])) == ["x", "z"]
