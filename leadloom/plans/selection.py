@@ -100,12 +100,13 @@ def streamed(spark, rows, make):
     """What a streaming rule makes of rows: they are written as files in no order of time, with a last row beyond all others that lets the watermark pass."""
     folder = f"{ranges.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     each = rows.select(F.col("key").cast("long").alias("key"), F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "kind", F.col("hits").cast("double").alias("hits"))
-    each.repartition(3, "id").write.parquet(f"{folder}/in")
+    per_batch = spark.sparkContext.defaultParallelism  # three batches, whose files every core can write and read
+    each.repartition(3 * per_batch, "id").write.parquet(f"{folder}/in")
     # a watermark that lags by the table's span takes no row for late, in whatever order files come
     span = (each.agg(F.date_diff(F.max("ts"), F.min("ts")).alias("days")).first().days or 0) + 2
     end = each.agg(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), (F.max("ts") + F.make_dt_interval(F.lit(2 * span))).alias("ts"), F.lit("end").alias("kind"), F.lit(0.0).alias("hits"))
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return ordered.drained(spark, lambda s: make(s, f"{span} days"), f"{folder}/in", STREAMED, folder).filter("key >= 0")
+    return ordered.drained(spark, lambda s: make(s, f"{span} days"), f"{folder}/in", STREAMED, folder, per_batch).filter("key >= 0")
 
 
 def stream_lanes(spark, sf_dir):

@@ -1,13 +1,16 @@
 """Keyed rules over streams, with rows in order of time whatever order they come in.
 
-A key's rows wait in list state until the watermark has passed them (a timer wakes the key), are then taken in order of time and id, and go
-through a step function with the key's state. What waits is bounded by the watermark's delay; rows later than that are left out by Spark.
-A key's state is one row of numbers. Each rule gives what its batch query gives over the same rows.
+Keys are dealt to buckets. A bucket's rows wait in list state, packed by the thousands, until the watermark has passed them (a timer wakes the bucket), are
+then taken key by key in order of time and id, and go through a step function with the key's state. So calls to the state store grow with buckets and
+batches, not with rows or keys. What waits is bounded by the watermark's delay; rows later than that are left out by Spark. A key's state is one row of
+numbers. Each rule gives what its batch query gives over the same rows.
 """
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,55 +19,81 @@ from leadloom.operators.state import BLOCK_SECONDS, STRIKES
 
 #: Keyed state needs this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-WAITING, OUT = "at long, id long, kind string, hits double", "key long, id long, outcome string"
+OUT = "key long, id long, outcome string"
+#: Buckets that keys are dealt to; a checkpoint holds for one number. Rows that are packed into one value of the store at most.
+BUCKETS, PACK_ROWS = 1024, 10_000
+ROWS = ["key", "at", "id", "kind", "hits"]
+
+
+def packed(table: pa.Table) -> tuple[bytes]:
+    """A table as a value of the store."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def unpacked(value: tuple) -> pa.Table:
+    return pa.ipc.open_stream(bytes(value[0])).read_all()
 
 
 class Ordered(StatefulProcessor):
-    """Holds rows back until their time has passed, then steps through them: step(state, at, id, kind, hits) gives the new state and an outcome, or None."""
+    """Holds a bucket's rows back until their time has passed, then steps through them: step(state, at, id, kind, hits) gives the key's new state and an outcome, or None."""
 
-    def __init__(self, step: Callable, start: tuple, schema: str):
-        self.step, self.start, self.schema = step, start, schema
+    def __init__(self, step: Callable, start: tuple):
+        self.step, self.start = step, start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.schema)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.states = handle.getValueState("states", "packed binary")
+        self.waiting = handle.getListState("waiting", "packed binary")
+
+    def wait(self, rows: pa.Table) -> None:
+        for at in range(0, len(rows), PACK_ROWS):
+            self.waiting.appendValue(packed(rows.slice(at, PACK_ROWS)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        latest = []
         for some in rows:
-            for at, i, kind, hits in zip(some["at"].tolist(), some["id"].tolist(), some["kind"].tolist(), some["hits"].tolist()):
-                self.waiting.appendValue((at, i, kind, hits))
-                latest = at if latest is None else max(latest, at)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "outcome": pd.Series([], dtype="object")})
+            table = pa.Table.from_pandas(some[ROWS], preserve_index=False).replace_schema_metadata()
+            self.wait(table)
+            latest.append(pc.max(table["at"]).as_py())
+        if latest:
+            self.handle.registerTimer(max(latest) // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        now, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
-        state = tuple(self.state.get()) if self.state.exists() else self.start
+        # all that the watermark has passed at once: the bucket's other timers of this batch then find nothing to do
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        chunks = [unpacked(value) for value in self.waiting.get()]
+        if not chunks:
+            return
+        rows = pa.concat_tables(chunks)
+        now, later = rows.filter(pc.less(rows["at"], until)), rows.filter(pc.greater_equal(rows["at"], until))
+        if not len(now):
+            return
+        states = {k: tuple(state) for k, *state in zip(*(c.to_pylist() for c in unpacked(self.states.get()).columns))} if self.states.exists() else {}
         out = []
-        for row in now:
-            state, outcome = self.step(state, *row)
+        for k, at, i, kind, hits in zip(*(c.to_pylist() for c in now.sort_by([(c, "ascending") for c in ROWS]).columns)):
+            states[k], outcome = self.step(states.get(k, self.start), at, i, kind, hits)
             if outcome is not None:
-                out.append((key[0], row[1], outcome))
-        self.state.update(state)
+                out.append((k, i, outcome))
+        self.states.update(packed(pa.table([pa.array(c) for c in zip(*((k, *state) for k, state in states.items()))], [str(n) for n in range(len(self.start) + 1)])))
         self.waiting.clear()
-        for row in later:
-            self.waiting.appendValue(row)
-        yield pd.DataFrame({"key": pd.Series([o[0] for o in out], dtype="int64"), "id": pd.Series([o[1] for o in out], dtype="int64"), "outcome": pd.Series([o[2] for o in out], dtype="object")})
+        self.wait(later)
+        if out:
+            keys, ids, outcomes = zip(*out)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "id": pd.Series(ids, dtype="int64"), "outcome": pd.Series(outcomes, dtype="object")})
 
     def close(self) -> None:
         pass
 
 
-def in_order(rows: DataFrame, step: Callable, start: tuple, schema: str, late: str) -> DataFrame:
+def in_order(rows: DataFrame, step: Callable, start: tuple, late: str, buckets: int = BUCKETS) -> DataFrame:
     """key, id and outcome of a stream of rows (key long, id long, ts timestamp, kind string, hits)."""
-    timed = rows.withWatermark("ts", late)
-    each = timed.select("key", "id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce(F.col("hits").cast("double"), F.lit(0.0)).alias("hits"))
-    return each.groupBy("key").transformWithStateInPandas(Ordered(step, start, schema), OUT, "Append", "EventTime")
+    timed = rows.withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    each = timed.select("bucket", "key", "id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce(F.col("hits").cast("double"), F.lit(0.0)).alias("hits"))
+    return each.groupBy("bucket").transformWithStateInPandas(Ordered(step, start), OUT, "Append", "EventTime")
 
 
 def lane_step(seconds: int, strikes: int) -> Callable:
@@ -85,7 +114,7 @@ def lane_step(seconds: int, strikes: int) -> Callable:
 
 def lanes(rows: DataFrame, late: str = "1 hour", seconds: int = BLOCK_SECONDS, strikes: int = STRIKES) -> DataFrame:
     """What happens to each page of each lane (key)."""
-    return in_order(rows, lane_step(seconds, strikes), (0, 0), "empty long, until long", late)
+    return in_order(rows, lane_step(seconds, strikes), (0, 0), late)
 
 
 def notice_step(state, at, i, kind, hits):
@@ -99,11 +128,11 @@ def notice_step(state, at, i, kind, hits):
 
 def notices(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     """The notices of each key that are sent."""
-    return in_order(rows, notice_step, (-1, 0), "day long, unread long", late)
+    return in_order(rows, notice_step, (-1, 0), late)
 
 
 def drained(spark: SparkSession, rows: Callable[[DataFrame], DataFrame], source: str, schema: str, out: str, per_batch: int = 1) -> DataFrame:
-    """All that a streaming query over a folder's files gives, written to a folder `out` and read from there; files come one after the other."""
+    """All that a streaming query over a folder's files gives, written to a folder `out` and read from there; files come so many at a time."""
     before = spark.conf.get(STORE[0], None)
     spark.conf.set(*STORE)
     try:

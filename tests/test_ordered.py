@@ -1,6 +1,8 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from leadloom.operators import state
@@ -36,3 +38,32 @@ def test_notices_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "key long, id long, ts timestamp, kind string, hits double").withColumn("day", F.to_date("ts"))
     want = {(r.key, r.id) for r in state.notices(df, ["key"], "kind", "day", F.col("hits") > 0, "ts", "id").collect()}
     assert got == want and len(want) > 5
+
+
+def test_keys_of_one_bucket_over_several_watermarks(spark, tmp_path):
+    """Keys share a bucket's rows and states; files in order of time, so that some rows are taken while others wait."""
+    rows, end = stream_rows(3, [""])
+    rows.sort(key=lambda r: r[2])
+    dealt = [r for pair in zip(rows[:53], rows[53:106], rows[106:]) for r in pair]  # drained() deals every third row to a file
+    got = drained(spark, dealt, end, tmp_path, lambda s: ordered.in_order(s, ordered.lane_step(7200, 4), (0, 0), "90 minutes", buckets=1)).collect()
+    df = spark.createDataFrame(rows[: len(dealt)], "key long, id long, ts timestamp, kind string, hits double")
+    want = {r.key: (r.pages, r.skipped, r.blocks) for r in state.blocked_lanes(df, "key", "hits", "ts", "id", seconds=7200).collect()}
+    count = lambda k, *kinds: sum(r.key == k and r.outcome in kinds for r in got)
+    assert {k: (count(k, "hit", "empty", "blocked"), count(k, "skipped"), count(k, "blocked")) for k in want} == want and len(want) == 3
+
+
+def test_calls_to_the_store_grow_with_batches_not_rows():
+    calls, kept = [], []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (kept.append(a[0]) if name == "appendValue" else iter(kept) if name == "get" else self if name.startswith("get") else False)
+
+    rule = ordered.Ordered(ordered.lane_step(7200, 4), (0, 0))
+    rule.init(Store())
+    n = 3000
+    rows = pd.DataFrame({"bucket": 7, "key": [i % 50 for i in range(n)], "id": range(n), "at": [i * 60_000_000 for i in range(n)], "kind": "", "hits": 0.0})
+    list(rule.handleInputRows((7,), iter([rows]), None))
+    time = SimpleNamespace(getExpiryTimeInMs=lambda: n * 60_000, getCurrentWatermarkInMs=lambda: n * 60_000)
+    assert sum(len(f) for f in rule.handleExpiredTimer((7,), time, time)) == n
+    assert len(calls) < 12
