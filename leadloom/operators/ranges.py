@@ -43,9 +43,15 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(tables[0].sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with numbers that grow in the order of columns, with gaps. Written."""
-    return settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+#: Rows of a range, where their number is known.
+RANGE_ROWS = 100_000
+
+
+def numbered(df: DataFrame, order: list[str], name: str, rows: int | None = None) -> DataFrame:
+    """df with numbers that grow in the order of columns, with gaps. Written; but where its number of rows is known and fits one range, a sort tells the numbers, if no two rows are equal in order."""
+    ranges = [] if rows is None else [max(1, -(-rows // RANGE_ROWS))]
+    ranged = df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    return ranged if ranges == [1] else settled(ranged)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, str]) -> DataFrame:
@@ -74,8 +80,13 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos
 
 def since_last(df: DataFrame, keys: list[str], order: str, hit: str) -> DataFrame:
     """df with `since`: rows of its key since the last one for which hit is true, that one not counted, up to and with the row; `any_hit` says whether there is one."""
-    ranged = numbered(df, [*keys, order], "__since_place").withColumn("__since_part", F.shiftright("__since_place", 33))
-    own = Window.partitionBy("__since_part", *keys).orderBy("__since_place").rowsBetween(Window.unboundedPreceding, 0)
+    return since_numbered(numbered(df, [*keys, order], "__since_place"), keys, "__since_place", hit).select(*df.columns, "since", "any_hit")
+
+
+def since_numbered(df: DataFrame, keys: list[str], place: str, hit: str) -> DataFrame:
+    """since_last() over rows whose order is that of numbers from numbered(), by whatever columns: each range then holds a stretch of every key's rows."""
+    ranged = df.withColumn("__since_part", F.shiftright(place, 33))
+    own = Window.partitionBy("__since_part", *keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__since_n", F.count("*").over(own))
     local = local.withColumn("__since_last", F.max(F.when(F.col(hit), F.col("__since_n"))).over(own))
     # a row for each range that a key lies in

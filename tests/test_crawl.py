@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.operators import crawl
 
@@ -43,6 +44,23 @@ def test_ends(spark):
     assert crawl.crawled(p, e, s.limit(0)).count() == 0 and crawl.crawled(p.limit(0), e, s).count() == 0
 
 
+def test_pages_are_read_once_a_round(spark):
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    p = spark.createDataFrame([(f"p{i}", "x", 1) for i in range(20)], "url string, branch string, found int").withColumn("url", counted("url"))
+    e = spark.createDataFrame([(f"p{i}", 0, f"p{i + 1}") for i in range(3)], "url string, place int, target string")
+    s = spark.createDataFrame([("p0", 0)], "url string, place int")
+    assert crawl.crawled(p, e, s).count() == 4
+    assert 0 < read.value <= 5 * 20  # for the seeds and after each of four rounds
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_rounds_of_many_ranges(spark, monkeypatch, most):
+    """Streaks go on from range to range within a round."""
+    monkeypatch.setattr(crawl.ranges, "RANGE_ROWS", most)
+    test_against_a_queue(spark, 5, 2)
+
+
 def test_query_against_a_queue(spark):
     from leadloom import registry
 
