@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import discard, slices, text_or_empty, written
-from leadloom.llm.word_ids import word_ids
+from leadloom.llm.word_ids import CACHE_ENTRIES, word_ids
 
 LENGTH = 4096
 VECTOR, DIMS, BITS = 256, 4, 8
 SEED = 20
+#: Pieces between blanks that a worker keeps the ids of in op6_packing, which does little else; within the pipeline the encoder's own bound holds.
+KEPT = 1_400_000
 
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, pad long"
 
@@ -71,13 +73,13 @@ def curve_keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return hilbert_keys(cells)
 
 
-def along_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def along_curve(docs: DataFrame, tokenizer: str, end_id: int, kept: int = CACHE_ENTRIES) -> DataFrame:
     """Tokenized documents in the curve's order, written: `part` and `run` (ids before it in its part) place a row."""
     coder = word_ids(tokenizer)
     width, vocabulary = coder.width, coder.tokenizer.get_vocab_size()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, kept)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in slices(batches, "text"):
             ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
@@ -99,14 +101,14 @@ def along_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return placed
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, kept: int = CACHE_ENTRIES) -> DataFrame:
     """The pieces of docs (doc_id, text): which ids of which document lie where in which sequence.
 
     sequence_tokens is how many ids the piece's sequence holds, and pad how many pads follow them: none in full ones,
-    none where the last one holds a power of two, else up to `length`.
+    none where the last one holds a power of two, else up to `length`. kept: pieces between blanks that a worker keeps the ids of.
     """
     spark = docs.sparkSession
-    placed = along_curve(docs, tokenizer, end_id)
+    placed = along_curve(docs, tokenizer, end_id, kept)
     width = word_ids(tokenizer).width
     starts, total = {}, 0
     for part, n in sorted(placed.groupBy("part").agg(F.sum("doc_tokens")).collect()):  # a row for each part
@@ -140,4 +142,4 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids")
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, kept=KEPT).drop("ids")

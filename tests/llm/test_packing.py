@@ -64,3 +64,13 @@ def test_query_packs_all_documents(spark, sf):
     rows = P.packed(spark.read.parquet(f"{sf}/documents.parquet"), PATH, 2).collect()
     held(rows, docs, 4096, 2)
     assert P.op6_packing(spark, sf).count() == len(rows)
+
+
+def test_pieces_kept_do_not_change_the_result(spark, monkeypatch):
+    """The bound is a setting, and the query has its own, larger one."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} and {i % 3}, again") for i in range(40)], "doc_id long, text string")
+    assert sorted(P.packed(docs, PATH, 2, 16, kept=3).collect()) == sorted(P.packed(docs, PATH, 2, 16).collect())
+    asked = []
+    monkeypatch.setattr(P, "packed", lambda docs, *a, **kw: asked.append(kw["kept"]) or docs.withColumn("ids", docs.text))
+    P.op6_packing(spark, "/root/testdata/sf0.001")
+    assert asked == [P.KEPT] and P.KEPT > P.CACHE_ENTRIES
