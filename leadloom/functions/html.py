@@ -1,5 +1,7 @@
 """Column builders over raw pages; regular expressions of the JVM, no parser in Python."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,18 +83,29 @@ def is_shell(html: Column) -> Column:
     return ((seen < 200) & (raw > 600)) | ((seen < 900) & F.regexp_like(F.coalesce(html, F.lit("")), F.lit(r'id="(root|app|__next)"')))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def contact_hits(html: Column) -> Column:
-    """Addresses with the weight of where they stand: mailto links, coded ones, JSON-LD, obfuscated and plain text."""
-    html = F.coalesce(html, F.lit(""))
-    body = text_of(html)
+    """Addresses with the weight of where they stand: mailto links, coded ones, JSON-LD, obfuscated and plain text. Texts without @, or a word for it, are not searched for addresses."""
+    html, none = F.coalesce(html, F.lit("")), F.array().cast("array<string>")
     glued = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), r"</?(span|b|i|em|strong)\b[^>]*>", "")
     json_ld = F.array_join(F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1)), " ")
-    found = {
-        "mailto": contact.clean_emails(F.regexp_extract_all(html, F.lit(r'(?i)href="mailto:([^"?]+)'), F.lit(1))),
-        "cf": F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(r'data-cfemail="([0-9a-fA-F]+)"'), F.lit(1)), contact.cf_email)),
-        "jsonld": contact.clean_emails(F.regexp_extract_all(json_ld, F.lit(r'"email"\s*:\s*"([^"]+)"'), F.lit(1))),
-        "text": F.array_distinct(F.concat(contact.clean_emails(contact.emails(body)), contact.loose_emails(F.regexp_replace(glued, r"<[^>]*>", " ")))),
-        "obfuscated": contact.obfuscated_emails(body),
-    }
+    loose = F.when(html.contains("@"), contact.loose_emails(F.regexp_replace(glued, r"<[^>]*>", " "))).otherwise(none)
+    standing = lambda text: F.when(text.contains("@"), contact.clean_emails(contact.emails(text))).otherwise(none)
     weighed = lambda weight: lambda e: F.struct(e.alias("email"), F.lit(weight).alias("source"))
-    return F.concat(*[F.transform(x, weighed(contact.SOURCES[k])) for k, x in found.items()])
+
+    def hits(body: Column, plain: Column) -> Column:
+        spelled = F.when(body.contains("@") | F.regexp_like(body, F.lit(r"(?i)\bat\b")), once(contact.spelled_out(body), standing)).otherwise(none)
+        found = {
+            "mailto": contact.clean_emails(F.regexp_extract_all(html, F.lit(r'(?i)href="mailto:([^"?]+)'), F.lit(1))),
+            "cf": F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(r'data-cfemail="([0-9a-fA-F]+)"'), F.lit(1)), contact.cf_email)),
+            "jsonld": contact.clean_emails(F.regexp_extract_all(json_ld, F.lit(r'"email"\s*:\s*"([^"]+)"'), F.lit(1))),
+            "text": F.array_distinct(F.concat(plain, loose)),
+            "obfuscated": F.array_except(spelled, plain),
+        }
+        return F.concat(*[F.transform(x, weighed(contact.SOURCES[k])) for k, x in found.items()])
+
+    return once(text_of(html), lambda body: once(standing(body), lambda plain: hits(body, plain)))

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from leadloom import registry
+from leadloom.functions import html
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,3 +27,11 @@ def test_directory_companies_by_page(spark, tmp_path):
     for page in (2, 3):
         assert [r.host for r in sorted((r for r in rows if r.page_id == page), key=lambda r: r.place)] == [f"c{i}.example.org" for i in range(20)]
     assert not any(r.page_id == 4 for r in rows)
+
+
+def test_contact_hits_work_a_page_out_once(spark):
+    texts = ["a [at] b dot com x", None, "<p>sales&nbsp;at&nbsp;acme.org</p>", "<p>Sales @ Acme . com, info@acme.net</p><a href=\"mailto:b%40acme.org?x\">m</a>", "<i>a</i>t", "<i>me a</i>t shop.example.io", "<p>hello&lt;AT&gt;corp.de or hello@corp.de</p>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, html string").withColumn("hits", html.contact_hits(F.col("html")))
+    got = [[tuple(h) for h in r.hits] for r in sorted(rows.collect(), key=lambda r: r.i)]
+    assert got == [[("a@b.com", 12)], [], [("sales@acme.org", 12)], [("b@acme.org", 40), ("info@acme.net", 15), ("sales@acme.com", 15)], [], [("me@shop.example.io", 12)], [("hello@corp.de", 15)]]
+    assert rows._jdf.queryExecution().analyzed().toString().count("blockquote") == 1  # the pattern of text_of()
