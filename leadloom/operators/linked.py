@@ -3,8 +3,12 @@
 Every value of every block is a row with its place: blocks in order of the page, then depth, then the positions on the way. A level is
 written before the next one is looked at, so each is computed once; in small row groups, as outer levels hold whole documents in a value. A document deeper than `most` levels raises an error; nothing is left out
 in silence. Blocks that are no JSON, null pages and pages without blocks give no rows.
+
+nodes() gives only those values that are asked for: each document is walked in its own row, whatever its depth, and nothing but what is found leaves it.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,33 @@ def walked(found: DataFrame, key: str, most: int = MOST) -> DataFrame:
     raise ValueError(f"linked data deeper than {most} levels")
 
 
+def inside(value: Column) -> Column:
+    """name and value of each member of an object (by name) or a list (in order, without names); none of other values."""
+    listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.struct(F.lit(None).cast("string").alias("name"), v.alias("value")))
+    named = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string, variant>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    return F.coalesce(named, listed, F.array().cast("array<struct<name: string, value: variant>>"))
+
+
+def nodes(found: DataFrame, key: str, wanted: Callable[[Column, Column], Column], most: int = MOST) -> DataFrame:
+    """The rows of walked() for whose name and value `wanted` holds, except that path only sorts as there, within a block and depth. Nothing is written."""
+    kind = "array<struct<depth: int, name: string, value: variant>>"
+
+    def picked(members: Column, depth: Column) -> Column:
+        return F.transform(F.filter(members, lambda m: F.coalesce(wanted(m["name"], m["value"]), F.lit(False))), lambda m: F.struct(depth.alias("depth"), m["name"].alias("name"), m["value"].alias("value")))
+
+    def deeper(so_far: Column, depth: Column) -> Column:
+        members = F.flatten(F.transform(so_far["open"], lambda m: inside(m["value"])))
+        # bound once; most + 1 levels have no members
+        checked = F.transform(F.array(members), lambda m: F.when((depth <= most) | (F.size(m) == 0), m).otherwise(F.raise_error(F.lit(f"linked data deeper than {most} levels"))))
+        return F.get(F.transform(checked, lambda m: F.struct(m.alias("open"), F.concat(so_far["picked"], picked(m, depth)).alias("picked"))), F.lit(0))
+
+    root = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("value").alias("value")))
+    start = F.struct(root.alias("open"), picked(root, F.lit(0)).cast(kind).alias("picked"))
+    all_of = F.aggregate(F.sequence(F.lit(1), F.lit(most + 1)), start, deeper, lambda done: done["picked"])
+    rows = found.select(key, "block", F.posexplode(all_of).alias("at", "node"))
+    return rows.select(key, "block", "node.depth", F.lpad(F.col("at").cast("string"), 10, "0").alias("path"), "node.name", "node.value")
+
+
 def text_at(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
 
@@ -50,10 +81,18 @@ def first_of(value: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(text_at(value, p)), F.lit("")) for p in paths], F.lit(""))
 
 
+def is_product(name: Column, value: Column) -> Column:
+    return F.array_contains(types(value), "product")
+
+
+def is_email(name: Column, value: Column) -> Column:
+    return F.lower(name) == "email"
+
+
 def products(rows: DataFrame, key: str) -> DataFrame:
     """key, place (block, depth, path), name, link, price and image of each product, wherever it stands; of those with one link (or, without any, one name) the first."""
     value = F.col("value")
-    some = rows.filter(F.array_contains(types(value), "product")).select(
+    some = rows.filter(is_product(F.col("name"), value)).select(
         key, F.struct("block", "depth", "path").alias("place"), first_of(value, "$.name").alias("name"), first_of(value, "$.url", "$['@id']").alias("link"),
         first_of(value, "$.offers.price", "$.offers[0].price").alias("price"), first_of(value, "$.image[0].url", "$.image[0]", "$.image.url", "$.image").alias("image"),
     )
@@ -64,5 +103,5 @@ def products(rows: DataFrame, key: str) -> DataFrame:
 
 def emails(rows: DataFrame, key: str) -> DataFrame:
     """key and email: usable addresses under the name email, at any depth, each once."""
-    found = rows.filter(F.lower("name") == "email").select(key, clean_email(text_at(F.col("value"), "$")).alias("email"))
+    found = rows.filter(is_email(F.col("name"), F.col("value"))).select(key, clean_email(text_at(F.col("value"), "$")).alias("email"))
     return found.filter("email is not null").distinct()

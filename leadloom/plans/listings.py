@@ -45,13 +45,13 @@ def linked_pages(spark, sf_dir):
 
 def linked_products(spark, sf_dir):
     """Products in each page's linked data."""
-    rows = linked.walked(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey")
+    rows = linked.nodes(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey", linked.is_product)
     return linked.products(rows, "s_suppkey").select("s_suppkey", "name", "link", "price", "image")
 
 
 def linked_emails(spark, sf_dir):
     """Addresses in each page's linked data."""
-    return linked.emails(linked.walked(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey"), "s_suppkey")
+    return linked.emails(linked.nodes(linked.blocks(linked_pages(spark, sf_dir), "s_suppkey", "html"), "s_suppkey", linked.is_email), "s_suppkey")
 
 
 def result_hits(spark, sf_dir):

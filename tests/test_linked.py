@@ -54,3 +54,23 @@ def test_a_batch_of_long_documents_stays_small(spark):
     files = [pq.ParquetFile(f.removeprefix("file://")) for f in rows.filter("depth = 0").inputFiles()]
     sizes = [(g.num_rows, g.total_byte_size) for f in files for g in (f.metadata.row_group(i) for i in range(f.num_row_groups))]
     assert max(n for n, size in sizes if size / n > 10_000) <= 100
+
+
+def test_nodes_are_those_of_the_walk(spark):
+    """In one pass and without a written level: the rows of the walk, in its order, with whole values."""
+    first = {"email": "a@x.com", "list": [{"Email": ["b@x.com"], "z": {"email": None}}, [[{"email": {"email": 5}}]], {}], "b": {"email": "c@x.com", "@type": ["Product"], "name": "n"}}
+    pages = [page(first, [first, {"@type": "product"}], "no json", 7, []), None, page({"email": "d@x.com"})]
+    found = linked.blocks(spark.createDataFrame(list(enumerate(pages)), "id int, html string").repartition(2), "id", "html")
+    for wanted in (linked.is_email, linked.is_product, lambda name, value: linked.F.lit(True)):
+        got = linked.nodes(found, "id", wanted)
+        in_order = lambda rows: [tuple(r) for r in rows.orderBy("id", "block", "depth", "path").selectExpr("id", "block", "depth", "name", "to_json(value)").collect()]
+        assert in_order(got) == in_order(linked.walked(found, "id").filter(wanted(linked.F.col("name"), linked.F.col("value"))))
+        assert "parquet" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_nodes_of_a_document_that_is_too_deep_raise(spark):
+    found = linked.blocks(spark.createDataFrame([(1, page([[[[1]]]]))], "id int, html string"), "id", "html")
+    every = lambda name, value: linked.F.lit(True)
+    assert linked.nodes(found, "id", every, most=4).count() == 5
+    with pytest.raises(Exception, match="deeper than 3"):
+        linked.nodes(found, "id", every, most=3).count()
