@@ -4,6 +4,9 @@ A page is cut into tokens in order: tags, comments, whole scripts and styles, an
 the place where it ends: at its closing tag, which is the next of the same name and depth; for an unclosed list item, row, cell or paragraph at
 the next one of its kind; else where the page ends. So `within` is a comparison of places, however deep things are nested. Whole pages are
 read; null and empty ones have no tokens.
+
+listing() makes rows only of the tags that cards can begin or end at. A page stays in one row and its cards are cut out of it by their places, so it goes
+through no more than one shuffle, and none where pages come grouped by their key.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +14,6 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.html import decoded
 from leadloom.functions.text import clean
-from leadloom.operators.ranges import settled
 
 TOKEN = r"(?is)<!--.*?(?:-->|$)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|$)|<[a-z/!?][^>]*(?:>|$)|[^<]+|<"
 #: Tags without an end, and tags that the next of their kind ends.
@@ -33,31 +35,42 @@ def has_class(tag: Column, wanted: str) -> Column:
     return F.array_contains(F.split(attribute(tag, "class"), r"\s+"), wanted)
 
 
+def name_of(raw: Column) -> Column:
+    return F.lower(F.regexp_extract(raw, r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))
+
+
+def kind_of(raw: Column, name: Column) -> Column:
+    return F.when(~raw.startswith("<") | (raw == "<"), "text").when(name == "", "other").when(raw.startswith("</"), "close").otherwise("open")
+
+
+def cut_up(html: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, at, kind (open, close, text, other), name and raw of each token."""
-    cut = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TOKEN), F.lit(0))
-    rows = pages.select(key, F.posexplode(cut).alias("at", "raw"))
-    name = F.lower(F.regexp_extract("raw", r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))
-    kind = F.when(~F.col("raw").startswith("<") | (F.col("raw") == "<"), "text").when(name == "", "other").when(F.col("raw").startswith("</"), "close").otherwise("open")
-    return rows.select(key, "at", kind.alias("kind"), name.alias("name"), "raw")
+    rows = pages.select(key, F.posexplode(cut_up(F.col(html))).alias("at", "raw")).withColumn("name", name_of(F.col("raw")))
+    return rows.select(key, "at", kind_of(F.col("raw"), F.col("name")).alias("kind"), "name", "raw")
 
 
-def elements(rows: DataFrame, key: str) -> DataFrame:
-    """key, name, at, end and raw of each element of tokens. An element without content ends where it starts."""
-    tags = rows.filter(F.col("kind").isin("open", "close"))
+def ended(tags: DataFrame, key: str) -> DataFrame:
+    """tags (key, kind, name, at, raw, ...) with the place where the element of each opening one ends: without content where it starts, null where the page ends."""
     whole = F.col("name").isin(*VOID, "script", "style") | F.col("raw").endswith("/>")
-    alone = tags.filter(whole & (F.col("kind") == "open")).select(key, "name", "at", F.col("at").alias("end"), "raw")
-    by = Window.partitionBy(key, "name").orderBy("at")
+    by = Window.partitionBy(key, "name", "__whole").orderBy("at")
     step = F.when(F.col("kind") == "open", 1).otherwise(-1)
     # a closing tag is of the depth that it ends
-    deep = tags.filter(~whole).withColumn("depth", F.sum(step).over(by) + F.when(F.col("kind") == "close", 1).otherwise(0))
-    deep = deep.withColumn("sibling", F.lead("at").over(by))
-    same = Window.partitionBy(key, "name", "depth").orderBy("at")
-    deep = deep.withColumn("next", F.struct(F.lead("kind").over(same).alias("kind"), F.lead("at").over(same).alias("at"))).filter("kind = 'open'")
+    deep = tags.withColumn("__whole", whole).withColumn("__depth", F.sum(step).over(by) + F.when(F.col("kind") == "close", 1).otherwise(0)).withColumn("__sibling", F.lead("at").over(by))
+    same = Window.partitionBy(key, "name", "__whole", "__depth").orderBy("at")
+    deep = deep.withColumn("__next", F.struct(F.lead("kind").over(same).alias("kind"), F.lead("at").over(same).alias("at")))
+    end = F.when(F.col("__whole"), F.col("at")).when(F.col("__next.kind") == "close", F.col("__next.at")).when(F.col("name").isin(*NEXT_ENDS), F.col("__sibling"))
+    return deep.select(*tags.columns, F.when(F.col("kind") == "open", end).alias("end"))
+
+
+def elements(rows: DataFrame, key: str) -> DataFrame:
+    """key, name, at, end and raw of each element of tokens. An element without content ends where it starts."""
     last = rows.groupBy(F.col(key).alias("__key")).agg((F.max("at") + 1).alias("last"))
-    ended = F.when(F.col("next.kind") == "close", F.col("next.at")).when(F.col("name").isin(*NEXT_ENDS), F.coalesce("sibling", "last")).otherwise(F.col("last"))
-    closed = deep.join(last, F.col(key).eqNullSafe(F.col("__key"))).select(key, "name", "at", ended.alias("end"), "raw")
-    return closed.union(alone)
+    found = ended(rows.filter(F.col("kind").isin("open", "close")), key).filter("kind = 'open'")
+    return found.join(last, F.col(key).eqNullSafe(F.col("__key"))).select(key, "name", "at", F.coalesce("end", "last").alias("end"), "raw")
 
 
 def within(outer: DataFrame, inner: DataFrame, key: str, prefix: str = "outer_") -> DataFrame:
@@ -71,12 +84,39 @@ def within(outer: DataFrame, inner: DataFrame, key: str, prefix: str = "outer_")
     return inner.join(spread, F.col(key).eqNullSafe(F.col(f"{prefix}{key}")) & (F.col("at") == F.col("__place"))).drop(f"{prefix}{key}", "__place")
 
 
+def selected(selectors: list[tuple[str, str | None]]) -> Column:
+    """The number of the first of selectors (tag, class or None) that an opening tag's name and raw meet."""
+    return F.coalesce(*[F.when((F.col("name") == tag) & (has_class(F.col("raw"), css) if css else F.lit(True)), n) for n, (tag, css) in enumerate(selectors)], F.lit(None).cast("int"))
+
+
 def cards(found: DataFrame, key: str, selectors: list[tuple[str, str | None]]) -> DataFrame:
     """Elements of the first of selectors (tag, class or None) of which a page has any."""
-    hit = F.coalesce(*[F.when((F.col("name") == tag) & (has_class(F.col("raw"), css) if css else F.lit(True)), n) for n, (tag, css) in enumerate(selectors)], F.lit(None).cast("int"))
-    marked = settled(found.withColumn("selector", hit).filter("selector is not null"))
-    least = marked.groupBy(F.col(key).alias("__key")).agg(F.min("selector").alias("__least"))
-    return marked.join(least, F.col(key).eqNullSafe(F.col("__key")) & (F.col("selector") == F.col("__least"))).drop("__key", "__least", "selector")
+    marked = found.withColumn("__selector", selected(selectors)).withColumn("__least", F.min("__selector").over(Window.partitionBy(key)))
+    return marked.filter(F.col("__selector") == F.col("__least")).drop("__selector", "__least")
+
+
+def card_parts(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, str | None]]) -> DataFrame:
+    """key, card_at and parts (at, kind, name and raw of the tokens within, in order) of the cards() of each page."""
+    tag = rf"(?i)^</?\s*({'|'.join(sorted({tag for tag, _ in selectors}))})(?![A-Za-z0-9:-])"
+    marks = F.filter(F.transform(cut_up(F.col(html)), lambda raw, at: F.struct(at.alias("at"), raw.alias("raw"))), lambda t: F.regexp_like(t["raw"], F.lit(tag)))
+    # a page goes along with the first of its tags
+    tags = pages.select(key, html, F.posexplode(marks).alias("__n", "__tag")).select(key, F.when(F.col("__n") == 0, F.col(html)).alias("__page"), "__tag.at", "__tag.raw")
+    tags = tags.withColumn("name", name_of(F.col("raw"))).withColumn("kind", kind_of(F.col("raw"), F.col("name")))
+    tags = tags.withColumn("__selector", F.when(F.col("kind") == "open", selected(selectors)))
+    # by key first: the windows by key and name are then within it
+    tags = ended(tags.withColumn("__least", F.min("__selector").over(Window.partitionBy(key))), key)
+    box = F.when(F.col("__selector") == F.col("__least"), F.struct("at", "end"))
+    paged = tags.groupBy(key).agg(F.first("__page", ignorenulls=True).alias("__page"), F.array_sort(F.collect_list(box)).alias("__boxes")).filter(F.size("__boxes") > 0)
+    paged = paged.select(key, cut_up(F.col("__page")).alias("__cut"), "__boxes")
+
+    def within_box(box: Column) -> Column:
+        raws = F.slice("__cut", box["at"] + 2, F.greatest(F.coalesce(box["end"], F.size("__cut")) - box["at"] - 1, F.lit(0)))
+        named = F.transform(raws, lambda raw, n: F.struct((box["at"] + 1 + n).alias("at"), name_of(raw).alias("name"), raw.alias("raw")))
+        parts = F.transform(named, lambda t: F.struct(t["at"].alias("at"), kind_of(t["raw"], t["name"]).alias("kind"), t["name"].alias("name"), t["raw"].alias("raw")))
+        return F.struct(box["at"].alias("card_at"), F.filter(parts, lambda t: t["kind"] != "other").alias("parts"))
+
+    # cards are cut out before they become rows, else each would take the whole page along
+    return paged.select(key, F.explode(F.transform("__boxes", within_box)).alias("__card")).select(key, "__card.card_at", "__card.parts")
 
 
 def listing(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, str | None]]) -> DataFrame:
@@ -84,10 +124,7 @@ def listing(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, st
 
     The link is the first one in the card that leads to a page; the title is the first heading, or else what the link says.
     """
-    rows = settled(tokens(pages, key, html))  # pages are cut once, not for every use
-    boxes = cards(elements(rows, key), key, selectors).select(key, "at", "end")
-    inside = within(boxes, rows.filter("kind != 'other'"), key, "card_")
-    each = inside.groupBy(key, "card_at").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "name", "raw"))).alias("parts"))
+    each = card_parts(pages, key, html, selectors)
     href = lambda p: attribute(p["raw"], "href")
     is_link = lambda p: (p["kind"] == "open") & (p["name"] == "a") & (href(p) != "") & ~href(p).startswith("#") & ~F.lower(href(p)).startswith("javascript:") & ~F.lower(href(p)).startswith("mailto:")
     first = F.get(F.filter("parts", is_link), F.lit(0))
@@ -114,7 +151,7 @@ def exhibitors(listed: DataFrame, least: int = 3, most: int = 70) -> DataFrame:
 
 def next_page(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, has_next and next_url ('' if the next page is a form's) of each page: a link marked or labelled as next, or a form with such a button."""
-    cut = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TOKEN), F.lit(0))
+    cut = cut_up(F.col(html))
     tag = lambda i: F.get(F.col("cut"), i)
     label = lambda i: F.lower(clean(decoded(F.coalesce(tag(i + 1), F.lit("")))))
     marked = lambda i: F.lower(attribute(tag(i), "rel")).isin("next") | has_class(F.lower(tag(i)), "next") | label(i).isin(*NEXT_LABELS)

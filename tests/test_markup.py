@@ -73,6 +73,21 @@ def test_links_within_a_card_only(spark):
     assert [r.h for r in links] == ["/in"]
 
 
+def test_a_page_goes_through_one_shuffle(spark):
+    """Cards are cut out of their page's row: no page or token is written or meets another row, and pages that come grouped by their key are not dealt anew."""
+    page = "<ul><LI class='x y'>a<!-- <li> --><a href=/a>A</a><li>b<p><a href=/b>B</a></ul><lix><a href=/no>no</a></lix><li/><ol><li><ol><li><a href=/c>C</a></li></ol><h2>D</h2></li></ol><li>open <a href=/e>E"
+    pages = spark.createDataFrame([(1, page), (None, page), (2, "<li>"), (3, None), (4, "<p>x</p>")], "id int, html string").repartition(2)
+    parts = markup.card_parts(pages, "id", "html", CARDS)
+    rows = markup.tokens(pages, "id", "html")
+    inside = markup.within(markup.cards(markup.elements(rows, "id"), "id", CARDS).select("id", "at", "end"), rows.filter("kind != 'other'"), "id", "card_")
+    got = [(r.id, r.card_at, *p) for r in parts.collect() for p in r.parts]
+    assert sorted(got, key=str) == sorted([(r.id, r.card_at, r.at, r.kind, r["name"], r.raw) for r in inside.collect()], key=str) and len(got) > 20
+    found = markup.listing(pages.groupBy("id").agg(F.max("html").alias("html")), "id", "html", CARDS)
+    assert sorted([(r.place, r.link, r.title) for r in found.collect() if r.id == 1]) == [(1, "/a", "A"), (2, "/b", "B"), (3, "/c", "D"), (4, "/e", "E")]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan and "parquet" not in plan.lower() and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_next_page(spark):
     pages = ['<a rel="next" href="/2">2</a>', '<a href="?p=2"> Next </a>', '<a class="b next" href="/n">3</a>', '<form><input type=submit value="Next"></form>', '<a href="/next">nothing</a>', None, "", "<a rel=next>x</a>", "x" * 300_000 + '<a rel="next" href="/far">f</a>']
     got = {r.id: (r.has_next, r.next_url) for r in markup.next_page(rows(spark, *pages), "id", "html").collect()}
