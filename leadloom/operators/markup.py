@@ -36,7 +36,7 @@ def has_class(tag: Column, wanted: str) -> Column:
 
 
 def name_of(raw: Column) -> Column:
-    return F.lower(F.regexp_extract(raw, r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))
+    return F.when(raw.startswith("<"), F.lower(F.regexp_extract(raw, r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))).when(raw.isNotNull(), "")
 
 
 def kind_of(raw: Column, name: Column) -> Column:
@@ -98,9 +98,10 @@ def cards(found: DataFrame, key: str, selectors: list[tuple[str, str | None]]) -
 def card_parts(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, str | None]]) -> DataFrame:
     """key, card_at and parts (at, kind, name and raw of the tokens within, in order) of the cards() of each page."""
     tag = rf"(?i)^</?\s*({'|'.join(sorted({tag for tag, _ in selectors}))})(?![A-Za-z0-9:-])"
-    marks = F.filter(F.transform(cut_up(F.col(html)), lambda raw, at: F.struct(at.alias("at"), raw.alias("raw"))), lambda t: F.regexp_like(t["raw"], F.lit(tag)))
-    # a page goes along with the first of its tags
-    tags = pages.select(key, html, F.posexplode(marks).alias("__n", "__tag")).select(key, F.when(F.col("__n") == 0, F.col(html)).alias("__page"), "__tag.at", "__tag.raw")
+    marks = F.filter(F.transform(cut_up(F.col(html)), lambda raw, at: F.struct(at.alias("at"), raw.alias("raw"))), lambda t: t["raw"].startswith("<") & F.regexp_like(t["raw"], F.lit(tag)))
+    # a page goes along with the first of its tags, within the array: beside it, each row of a tag would take the page along before it is dropped
+    marks = F.transform(marks, lambda t, n: F.struct(F.when(n == 0, F.col(html)).alias("page"), t["at"].alias("at"), t["raw"].alias("raw")))
+    tags = pages.select(key, F.explode(marks).alias("__tag")).select(key, F.col("__tag.page").alias("__page"), "__tag.at", "__tag.raw")
     tags = tags.withColumn("name", name_of(F.col("raw"))).withColumn("kind", kind_of(F.col("raw"), F.col("name")))
     tags = tags.withColumn("__selector", F.when(F.col("kind") == "open", selected(selectors)))
     # by key first: the windows by key and name are then within it
@@ -125,19 +126,19 @@ def listing(pages: DataFrame, key: str, html: str, selectors: list[tuple[str, st
     The link is the first one in the card that leads to a page; the title is the first heading, or else what the link says.
     """
     each = card_parts(pages, key, html, selectors)
-    href = lambda p: attribute(p["raw"], "href")
-    is_link = lambda p: (p["kind"] == "open") & (p["name"] == "a") & (href(p) != "") & ~href(p).startswith("#") & ~F.lower(href(p)).startswith("javascript:") & ~F.lower(href(p)).startswith("mailto:")
-    first = F.get(F.filter("parts", is_link), F.lit(0))
-    heading = F.get(F.filter("parts", lambda p: (p["kind"] == "open") & p["name"].isin(*HEADINGS)), F.lit(0))
+    opened = lambda p, *names: (p["kind"] == "open") & p["name"].isin(*names)
+    links = F.transform(F.filter("parts", lambda p: opened(p, "a")), lambda p: F.struct(p["at"].alias("at"), p["name"].alias("name"), attribute(p["raw"], "href").alias("href")))
+    leads = lambda a: (a["href"] != "") & ~a["href"].startswith("#") & ~F.lower(a["href"]).startswith("javascript:") & ~F.lower(a["href"]).startswith("mailto:")
+    headings = F.transform(F.filter("parts", lambda p: opened(p, *HEADINGS)), lambda p: F.struct(p["at"].alias("at"), p["name"].alias("name")))
     shown = lambda parts: clean(decoded(F.array_join(F.transform(parts, lambda p: p["raw"]), " ")))
-    texts = F.filter("parts", lambda p: p["kind"] == "text")
-
-    def said(start: Column) -> Column:
-        end = F.get(F.filter("parts", lambda p: (p["kind"] == "close") & (p["name"] == start["name"]) & (p["at"] > start["at"])), F.lit(0))["at"]
-        return shown(F.filter(texts, lambda p: (p["at"] > start["at"]) & (end.isNull() | (p["at"] < end))))
-
-    each = each.withColumn("first", first).withColumn("heading", heading)
-    each = each.select(key, "card_at", F.coalesce(href(F.col("first")), F.lit("")).alias("link"), F.coalesce(F.when(F.col("heading").isNotNull(), said(F.col("heading"))), F.when(F.col("first").isNotNull(), said(F.col("first"))), F.lit("")).alias("title"), shown(texts).alias("text"))
+    # each step is a row of its own, so that a later filter does not work it out again
+    bound = lambda *columns: F.explode(F.array(F.struct(*columns)))
+    each = each.select(key, "card_at", "parts", bound(F.get(F.filter(links, leads), F.lit(0)).alias("first"), F.get(headings, F.lit(0)).alias("heading"), F.filter("parts", lambda p: p["kind"] == "text").alias("texts")).alias("b")).select(key, "card_at", "parts", "b.*")
+    start = F.coalesce("heading", F.struct(F.col("first.at").alias("at"), F.col("first.name").alias("name")))
+    each = each.withColumn("start", start)
+    end = F.get(F.filter("parts", lambda p: (p["kind"] == "close") & (p["name"] == F.col("start.name")) & (p["at"] > F.col("start.at"))), F.lit(0))["at"]
+    said = F.get(F.transform(F.array(end), lambda e: shown(F.filter("texts", lambda p: (p["at"] > F.col("start.at")) & (e.isNull() | (p["at"] < e))))), F.lit(0))
+    each = each.select(key, "card_at", bound(F.coalesce("first.href", F.lit("")).alias("link"), F.coalesce(said, F.lit("")).alias("title"), shown(F.col("texts")).alias("text")).alias("b")).select(key, "card_at", "b.*")
     named = each.filter("link != '' or title != ''").withColumn("same", F.when(F.col("link") != "", F.concat(F.lit("l"), "link")).otherwise(F.concat(F.lit("t"), F.lower("title"))))
     firsts = named.groupBy(key, "same").agg(F.min(F.struct("card_at", "link", "title", "text")).alias("card"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("card.card_at"))
